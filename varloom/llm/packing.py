@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, slices
-from .subwords import Encoder, vocabulary_path
+from .subwords import encoder, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 TIERS = (256, 512, 1024, 2048)
@@ -113,7 +113,7 @@ def packer(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, rou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packs = Encoder(path, True, end_id), Packer(tiers, step_tokens)
+        coder, packs = encoder(path, True, end_id), Packer(tiers, step_tokens)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         held: dict[int, tuple] = {}  # documents of which pieces still wait
         serial = 0
@@ -141,7 +141,7 @@ def packer(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, rou
 
         for whole in batches:
             for batch in slices(whole, "text", round_bytes):
-                ids, bounds = encoder.encode(batch.column("text"))
+                ids, bounds = coder.encode(batch.column("text"))
                 keys = batch.column("doc_id").to_pylist()
                 for k, a, b in zip(keys, bounds[:-1].tolist(), bounds[1:].tolist()):
                     held[serial] = (k, ids[a:b].astype("<u4"))
@@ -155,7 +155,7 @@ def packer(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, rou
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65_536, round_bytes: int = 4 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65_536, round_bytes: int = 8 << 20) -> DataFrame:
     """One row per piece. ``tiers`` are powers of two, the largest is the sequence length.
 
     ``tier`` is the window's token count; windows of a ``step_group`` share a tier and hold

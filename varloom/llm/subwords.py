@@ -1,10 +1,10 @@
 """Tokenisation with a ready-made vocabulary, one library call per distinct unit of text.
 
-Both vocabularies split text before merging, and no piece of such a split crosses a
-separator. So a text's ids are the ids of its units in order, and each distinct unit needs
-to go through the library once per batch and worker. Documents where that would not hold
-(a space beside another white-space character, for a vocabulary that keeps spaces) go
-through the library whole.
+Both vocabularies split text before merging, and no piece of such a split crosses the edges
+used here: before a space, around a line end, between a letter and a final mark. So a text's
+ids are the ids of its units in order, and each distinct unit needs to go through the library
+once per worker. Documents where that would not hold (two white-space characters side by
+side, for a vocabulary that keeps spaces) go through the library whole.
 """
 
 from __future__ import annotations
@@ -18,48 +18,47 @@ import pyarrow.compute as pc
 
 #: White space as the vocabularies' patterns see it, a superset in RE2's notation.
 _SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
-_AMBIGUOUS = f"{_SPACE} | {_SPACE}"
+#: Edge between units while a text is cut; texts that contain it go through whole.
+_EDGE = "\x01"
+_AMBIGUOUS = f"{_SPACE}{_SPACE}|{_EDGE}"
+_MARK = r"(\p{L})([.,])([ \n])"
 
 
 class Encoder:
     """``keeps_space``: a single space belongs to the unit it precedes; else separators vanish.
 
-    ``cache_units`` bounds the worker's memory; a full cache is emptied, never truncated.
+    ``cache_units`` bounds the worker's memory: the cache has two halves, a full young half
+    becomes the old one, and what is used again moves to the young one.
     """
 
-    def __init__(self, path: str, keeps_space: bool, end_id: int, cache_units: int = 900_000):
+    def __init__(self, path: str, keeps_space: bool, end_id: int, cache_units: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.keeps_space, self.end_id, self.cache_units = keeps_space, end_id, cache_units
-        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers; bytes cost the collector nothing
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # ids as 32-bit integers; bytes cost the collector nothing
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("i", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _resolve(self, units: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > self.cache_units:
-            cache.clear()
-        joined, wanted = [], set()
-        for k, unit in enumerate(units):
-            if unit in cache:
-                continue
-            body = unit[:-1]
-            if unit[-1:] in (".", ",") and body.lstrip(" ").isalpha():  # letters and one mark never merge
-                joined.append(k)
-                if body not in cache:
-                    wanted.add(body)
-                if unit[-1] not in cache:
-                    wanted.add(unit[-1])
+        if len(self.cache) > self.cache_units // 2:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        found = list(map(cache.get, units))
+        late = [k for k, x in enumerate(found) if x is None]
+        wanted = []
+        for k in late:
+            x = old.get(units[k])
+            if x is None:
+                wanted.append(units[k])
             else:
-                wanted.add(unit)
-        wanted = list(wanted)
+                cache[units[k]] = x
         cache.update(zip(wanted, self._ids(wanted)))
-        found = list(map(cache.get, units))
-        for k in joined:
-            found[k] = cache[units[k][:-1]] + cache[units[k][-1]]
+        for k in late:
+            found[k] = cache[units[k]]
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,31 +68,22 @@ class Encoder:
         whole = np.zeros(n, bool)
         if self.keeps_space:
             whole = pc.match_substring_regex(texts, _AMBIGUOUS).to_numpy(zero_copy_only=False)
-            lists = pc.split_pattern(texts, " ")
+            cut = pc.replace_substring_regex(texts, _MARK, rf"\1{_EDGE}\2\3")
+            cut = pc.replace_substring(pc.replace_substring(cut, " ", _EDGE + " "), "\n", f"{_EDGE}\n{_EDGE}")
+            lists = pc.split_pattern(cut, _EDGE)
         else:
-            lists = pc.ascii_split_whitespace(texts)
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _MARK, r"\1 \2\3"))
         per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(lists.flatten())
-        first = np.zeros(int(per_doc.sum()), np.int64)
-        starts = np.cumsum(per_doc) - per_doc
-        if self.keeps_space:
-            first[starts[per_doc > 0]] = 1
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + first
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = self._resolve(coded.dictionary.to_pylist())
+        end = len(pieces)
         if whole.any():
             codes = codes[~np.repeat(whole, per_doc)]
             per_doc = np.where(whole, 0, per_doc)
-        used = np.flatnonzero(np.bincount(codes, minlength=1)) if len(codes) else np.zeros(0, np.int64)
-        names = coded.dictionary.take(pa.array(used // 2)).to_pylist()
-        if self.keeps_space:
-            names = [u if c & 1 else " " + u for u, c in zip(names, used.tolist())]
-        pieces = self._resolve(names)
-        place = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
-        place[used] = np.arange(len(used))
-        codes = place[codes]
         # After the units: one piece for the end id, then the texts that go through whole.
         rows = np.flatnonzero(whole)
         pieces = [*pieces, array("i", [self.end_id]).tobytes(), *self._ids(texts.take(pa.array(rows)).to_pylist())]
-        end = len(used)
         order = self._close(codes, np.cumsum(per_doc), rows, end, n)
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         flat = np.frombuffer(b"".join(pieces), np.int32)
@@ -120,6 +110,16 @@ class Encoder:
         return np.insert(codes, where, extra)
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, keeps_space: bool, end_id: int) -> Encoder:
+    """The worker's encoder: its cache serves all tasks that the worker runs."""
+    if (path, keeps_space, end_id) not in _ENCODERS:
+        _ENCODERS[path, keeps_space, end_id] = Encoder(path, keeps_space, end_id)
+    return _ENCODERS[path, keeps_space, end_id]
+
+
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary lies; the package that holds them tells."""
     import public_tokenizers

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, slices, text_bytes
-from .subwords import Encoder, vocabulary_path
+from .subwords import encoder, vocabulary_path
 
 SHARD = "first_key long, n_rows long, n_ids long, width int, payload binary, row_lengths binary, row_keys binary, displacements binary, fingerprints binary, entries binary"
 #: Stands for a null doc_id among the keys.
@@ -142,8 +142,8 @@ class Shard:
 
 def shard_writer(path: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, False, end_id)
-        width = 2 if max(encoder.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        coder = encoder(path, False, end_id)
+        width = 2 if max(coder.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         names = [x.split()[0] for x in SHARD.split(", ")]
         keys, lengths, ids, held = [], [], [], 0
 
@@ -156,8 +156,8 @@ def shard_writer(path: str, end_id: int, shard_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([v]) if isinstance(v, bytes) else pa.array([v], pa.int32() if i == 3 else pa.int64()) for i, v in enumerate(record)], names=names)
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                got, bounds = encoder.encode(batch.column("text"))
+            for batch in slices(whole, "text", 8 << 20):
+                got, bounds = coder.encode(batch.column("text"))
                 key = batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
                 if held >= shard_bytes and keys and key[0] != keys[-1][-1]:  # a key's rows stay in one shard
                     yield close()
