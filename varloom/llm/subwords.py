@@ -21,6 +21,10 @@ _SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Edge between units while a text is cut; texts that contain it go through whole.
 _EDGE = "\x01"
 _AMBIGUOUS = f"{_SPACE}{_SPACE}|{_EDGE}"
+#: The letters that stand for bytes in byte-level vocabularies: printable bytes for
+#: themselves, the others for code points from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _MARK = r"(\p{L})([.,])([ \n])"
 
 
@@ -37,11 +41,35 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.keeps_space, self.end_id, self.cache_units = keeps_space, end_id, cache_units
+        self.model = self.library.model
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # ids as 32-bit integers; bytes cost the collector nothing
 
+    def _plain(self, unit: str) -> str | None:
+        """The unit as the merges see it, if it is one word of Latin letters; else None.
+
+        Such a unit needs neither the library's normaliser nor its patterns.
+        """
+        word = unit[1:] if self.keeps_space and unit[:1] == " " else unit
+        if not word.isalpha() or max(word) >= "\u0100":
+            return None
+        if not self.keeps_space:  # this vocabulary is of lower case
+            unit = word.lower()
+        return unit.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("i", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        model, out, rest = self.model, [], []
+        for text in texts:
+            plain = self._plain(text)
+            if plain is None:
+                rest.append(len(out))
+                out.append(b"")
+            else:
+                out.append(array("i", [t.id for t in model.tokenize(plain)]).tobytes())
+        if rest:
+            for k, x in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+                out[k] = array("i", x.ids).tobytes()
+        return out
 
     def _resolve(self, units: list[str]) -> list[bytes]:
         if len(self.cache) > self.cache_units // 2:
