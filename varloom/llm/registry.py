@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
-
-_OPERATORS = (packing.op7_packing, token_files.op8_token_files)
+from . import lm_scoring, media, packing, quality, token_files
+
+_OPERATORS = (
+    lm_scoring.op1_lm_scoring,
+    media.op2_media_columns,
+    packing.op7_packing,
+    token_files.op8_token_files,
+    quality.op9_quality_classifier,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
