@@ -54,6 +54,7 @@ class Block:
     """
 
     def __init__(self, table: pa.Table, order: int):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back at once what a block has used
         self.order = order
         self.ids = table.column("doc_id").to_pylist()
         self.n = len(self.ids)
@@ -62,8 +63,9 @@ class Block:
         flat = lists.flatten()
         owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
         coded = pc.dictionary_encode(flat)
+        del texts, lists, flat
         names = np.array([xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()] or [0], np.uint64)
-        keep = np.array([bool(w) for w in coded.dictionary.to_pylist()] or [False])
+        keep = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False) if len(coded.dictionary) else np.zeros(1, bool)
         code = coded.indices.to_numpy(zero_copy_only=False)
         real = keep[code] if len(code) else np.zeros(0, bool)
         word, owner = names[code[real]] if len(code) else np.zeros(0, np.uint64), owner[real]
@@ -107,6 +109,17 @@ def shard_edges(unique: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane: the high planes are near empty."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64)
+
+
 class Automaton:
     """Arc and failure weights at every position of a block, from the totals of its n-grams."""
 
@@ -171,7 +184,7 @@ def _send(order: int, shards: int):
             edges = shard_edges(block.uniques[k], shards).tolist()
             for s in range(shards):  # empty runs too: every shard answers every block
                 a, b = edges[s], edges[s + 1]
-                rows.append((s, key[0].as_py(), k, block.uniques[k][a:b].tobytes(), block.counts[k][a:b].tobytes()))
+                rows.append((s, key[0].as_py(), k, packed(block.uniques[k][a:b]), block.counts[k][a:b].tobytes()))
         columns = list(zip(*rows))
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=[x.split()[0] for x in _SENT.split(", ")])
 
@@ -185,7 +198,7 @@ def _answer():
         tokens = vocabulary = 0
         for k in sorted(set(levels)):
             rows = [i for i, x in enumerate(levels) if x == k]
-            all_keys = np.frombuffer(b"".join(keys[i] for i in rows), np.uint64)
+            all_keys = np.concatenate([unpacked(keys[i]) for i in rows])
             weight = np.frombuffer(b"".join(counts[i] for i in rows), np.uint32)
             unique, inverse = np.unique(all_keys, return_inverse=True)
             total = np.bincount(inverse, weights=weight, minlength=len(unique)).astype(np.int64)
@@ -218,7 +231,7 @@ def _score(order: int, strength: float):
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = 2, strength: float = 4.0, block_bytes: int = 16 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 2, strength: float = 16.0, block_bytes: int = 8 << 20) -> DataFrame:
     """Score every document with a model of the training documents among them.
 
     ``strength`` is K above. ``block_bytes`` bounds the text that a task holds; with it the
@@ -228,7 +241,8 @@ def lm_scores(docs: DataFrame, order: int = 2, strength: float = 4.0, block_byte
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     blocks = max(1, -(-text_bytes(rows) // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    sent = dealt.groupBy("block").applyInArrow(_send(order, blocks), _SENT)
+    shards = -(-blocks // 2)
+    sent = dealt.groupBy("block").applyInArrow(_send(order, shards), _SENT)
     answers = sent.groupBy("shard").applyInArrow(_answer(), _ANSWER)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, strength), RESULT)
 
