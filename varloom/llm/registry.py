@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, media, packing, quality, token_files
+from . import lm_scoring, media, mixing, near_dedup, packing, quality, token_files
 
 _OPERATORS = (
     lm_scoring.op1_lm_scoring,
     media.op2_media_columns,
+    mixing.op3_mixing,
     packing.op7_packing,
     token_files.op8_token_files,
     quality.op9_quality_classifier,
+    near_dedup.op10_near_dedup,
 )
 
 
