@@ -8,13 +8,13 @@ band are candidates. Two documents at similarity 0.75 share none of the 40 bands
 probability of 3e-7.
 
 Candidates are not expanded into all pairs. Documents with equal sets are one representative
-from the start. Then, in each band's group, every member meets the group's hub (the member
-with the most company over all bands); pairs pass a comparison of set sizes (exact) and of
-collision-corrected sketch estimates (six standard deviations wide), and are confirmed on
-full sets. Groups whose members are by then in one component are finished. The others get a
-second hub, and what is still apart after that is compared pair by pair, large groups first
-being divided by a second band. So no link between components is left untested, while a group
-of near copies costs a multiple of its size.
+from the start. Then, twice, every member of a band's group meets one hub of its groups (the
+member with the most company over all bands, then one by hash); pairs pass a comparison of
+set sizes (exact) and of collision-corrected sketch estimates (six standard deviations wide),
+and are confirmed on full sets. Groups whose members are by then in one component are
+finished. In the others, pairs that are still apart and share two bands are compared one by
+one. So no link between components is left out, while a group of near copies costs a multiple
+of its size.
 
 Components come from label propagation with pointer jumping over confirmed links; nothing
 but counts reaches the driver. All tables that are used again lie in the shared folder.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, slices
@@ -47,6 +47,8 @@ FEW = 48
 #: Groups up to this size are compared pair by pair at the end, larger ones divided first.
 SMALL_GROUP = 64
 EMPTY = np.uint16(0xFFFF)
+#: Set apart the bands of different tables, so that a band says which table it is of.
+_NAME = np.random.default_rng(20240608).integers(-(1 << 63), 1 << 63, TABLES, np.int64)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TABLE = (np.random.default_rng(20240607).integers(0, 1 << 63, TABLES, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -84,7 +86,7 @@ def registers(x: np.ndarray) -> np.ndarray:
     zeros = np.uint64(1023 + 63) - (bits >> np.uint64(52))
     register = (zeros << np.uint64(MANTISSA)) | ((bits >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1))
     packed = np.where(best == _MAX, np.uint64(EMPTY), register).astype(np.uint16).T.copy()
-    return packed.view(np.int64)[:, 0]
+    return packed.view(np.int64)[:, 0] ^ _NAME
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -124,7 +126,7 @@ def _likely(threshold: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(batch.num_rows, -1) for c in ("bands_a", "bands_b"))
+            a, b = ((batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, TABLES) ^ _NAME).view(np.uint16) for c in ("bands_a", "bands_b"))
             n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             keep = (np.minimum(n, m) < FEW) | (estimate(a, b, n, m) >= threshold / 100 - MARGIN)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -203,30 +205,44 @@ class _Finder:
         """Groups with members in more than one component."""
         return rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *(extra or [])).filter("low < high").drop("low", "high")
 
-    def star(self) -> None:
-        """Every member of an unfinished group against the group's hub, which then leaves it."""
-        rows = materialize(self.rows(), "rows")
-        hub = F.max(F.struct("weight", (-F.col("rep")).alias("order"), "n", "component")).alias("h")
-        hubs = materialize(self.unfinished(rows, [hub]).select("key", (-F.col("h.order")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component")), "hubs")
-        met = rows.join(hubs, "key").filter(F.col("rep") != F.col("hub"))
-        self.groups = materialize(met.select("key", "rep", "n", "weight"), "groups")
-        apart = met.filter(F.col("component") != F.col("hub_component"))
-        self.confirm(apart.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b")))
+    def star(self, preference: Column) -> None:
+        """Every member of an unfinished group against one hub: the most preferred of its groups.
+
+        One pair a member and round, however many groups it shares with its hub.
+        """
+        rows = materialize(self.rows().withColumn("preference", preference), "rows")
+        hub = F.max(F.struct("preference", (-F.col("rep")).alias("order"), "n", "component")).alias("h")
+        hubs = materialize(self.unfinished(rows, [hub]), "hubs")
+        met = rows.join(hubs, "key").filter((F.col("rep") != -F.col("h.order")) & (F.col("component") != F.col("h.component")))
+        top = met.groupBy("rep").agg(F.max("h").alias("h"), F.first("n").alias("n"))
+        hub_id = -F.col("h.order")
+        self.confirm(top.select(F.least("rep", hub_id).alias("a"), F.greatest("rep", hub_id).alias("b"), F.col("n").alias("n_a"), F.col("h.n").alias("n_b")))
 
     def rest(self) -> None:
-        """All pairs between components in the groups that are still unfinished."""
+        """All pairs between components in the groups that are still unfinished.
+
+        Only pairs with two bands in common are made (a pair at the threshold has fewer with a
+        probability of 5e-6), each in one group only: that of its smallest common band. Large
+        groups are divided by a second band first, which is then the next smallest.
+        """
         rows = materialize(self.rows(), "rows")
         open_ = materialize(self.unfinished(rows, [F.count(F.lit(1)).alias("members")]), "open")
-        left = rows.join(open_, "key")
-        small = left.filter(F.col("members") <= SMALL_GROUP).select("key", "rep", "n", "component")
-        large = left.filter(F.col("members") > SMALL_GROUP).join(self.reps.select("rep", "bands"), "rep")
-        finer = large.select("key", "rep", "n", "component", F.posexplode("bands").alias("table", "band")).select(F.xxhash64("key", "table", "band").alias("key"), "rep", "n", "component")
-        finer = materialize(finer, "finer")
+        left = rows.join(open_, "key").join(self.reps.select("rep", "bands"), "rep")
+        left = materialize(left.select("key", "band", "rep", "n", "component", "bands", "members"), "left", codec="none")
+        small = left.filter(F.col("members") <= SMALL_GROUP)
+        finer = left.filter(F.col("members") > SMALL_GROUP).select("*", F.explode("bands").alias("next")).filter("next > band")
+        finer = finer.withColumn("key", F.xxhash64("key", "next"))
         again = materialize(self.unfinished(finer), "again")
-        members = materialize(small.unionByName(finer.join(again, "key").select("key", "rep", "n", "component")), "members")
-        a, b = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component"))) for s in "ab")
-        pairs = a.join(b, "key").filter("rep_a < rep_b and component_a != component_b")
-        self.confirm(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b"))
+        common = "array_sort(array_intersect(bands_a, bands_b))"
+
+        def pairs(members: DataFrame, made_here: str) -> DataFrame:
+            a, b = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in members.columns if c != "key")) for s in "ab")
+            close = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {self.threshold}"
+            met = a.join(b, (a["key"] == b["key"]) & F.expr(f"rep_a < rep_b and component_a != component_b and {close} and {made_here}"))
+            return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b")
+
+        found = pairs(small, f"transform(array({common}), c -> size(c) >= 2 and c[0] = band_a)[0]")
+        self.confirm(found.unionByName(pairs(finer.join(again, "key"), f"transform(array({common}), c -> size(c) >= 2 and c[0] = band_a and c[1] = next_a)[0]")))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -236,15 +252,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     classes = materialize(sketches.filter("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep")), "classes")
     first = sketches.join(classes.withColumn("doc_id", F.col("rep")), ["content", "doc_id"])
     reps = materialize(first.select("rep", F.col("n_shingles").alias("n"), "bands"), "reps", codec="none")
-    members = reps.select("rep", "n", F.posexplode("bands").alias("table", "band")).select(F.xxhash64("table", "band").alias("key"), "rep", "n")
+    members = reps.select("rep", "n", F.explode("bands").alias("band")).withColumn("key", F.col("band"))
     shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
     grouped = materialize(members.join(shared, "key"), "grouped")
     weights = materialize(grouped.groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
-    groups = materialize(grouped.join(weights, "rep").select("key", "rep", "n", "weight"), "groups")
+    groups = materialize(grouped.join(weights, "rep").select("key", "band", "rep", "n", "weight"), "groups")
     texts = materialize(rows.join(weights, F.col("doc_id") == F.col("rep")).select("rep", "text"), "texts")
     finder = _Finder(reps, texts, groups, threshold)
-    finder.star()
-    finder.star()
+    finder.star(F.col("weight"))
+    finder.star(F.xxhash64("rep"))
     finder.rest()
     named = sketches.select("doc_id", "n_shingles", "content").join(classes, "content", "left")
     labels = finder.labels.select(F.col("node").alias("rep"), "component")
