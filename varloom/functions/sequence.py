@@ -21,7 +21,7 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def is_valid_sequence(seq: Column) -> Column:
-    return F.upper(seq).rlike(f"^[{CODES}]+$")
+    return seq.rlike(f"\\A[{CODES}{CODES.lower()}]+\\z")
 
 
 def base_at(seq: Column, pos: Column, minus: Column) -> Column:
@@ -72,6 +72,16 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def kmer_hashes(seq: Column, k: int) -> Column:
+    """64-bit hashes of all k-mers, in order.
+
+    Cut from a fixed-width encoding, where finding a character takes no scan.
+    """
+    wide = F.encode(seq, "UTF-32")
+    cut = F.transform(F.array(wide), lambda w: F.transform(F.sequence(F.lit(0), F.length(seq) - k), lambda i: F.xxhash64(F.substring(w, i * 4 + 1, F.lit(4 * k)))))[0]
+    return F.when(F.length(seq) >= k, cut).otherwise(F.array().cast("array<bigint>"))
+
+
 def minimizers(seq: Column, window: int = 10, k: int = 15) -> Column:
     """Distinct (hash, position) minima over windows of consecutive k-mers, by position.
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import driver_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(driver_queries.Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(driver_queries.SQL)
