@@ -81,7 +81,8 @@ def place_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     word, pair = _places()
     trusted = labels.filter("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("trusted_id")).distinct()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").cast("string").alias("text"))
-    rows = rows.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
+    # The labels grow with the corpus: one way of joining at every size, by the key.
+    rows = rows.join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
     hashed = rows.select(F.col("trusted_id").isNotNull().cast("int").alias("good"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
     places = F.expr(f"flatten(transform(sequence(0, size(hashes) - 1), i -> if(i > 0, array({word}, {pair}), array({word}))))")
     return hashed.filter("size(hashes) > 0").select("good", F.explode(places).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
