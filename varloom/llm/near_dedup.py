@@ -10,10 +10,10 @@ probability of 3e-7.
 Candidates are not expanded into all pairs. Documents with equal sets are one representative
 from the start. Then, twice, every member of a band's group meets one hub of its groups (the
 member with the most company over all bands, then one by hash); pairs pass a comparison of
-set sizes (exact) and of collision-corrected sketch estimates (six standard deviations wide),
+set sizes (exact) and of collision-corrected sketch estimates (four standard deviations wide),
 and are confirmed on full sets. Groups whose members are by then in one component are
-finished. In the others, pairs that are still apart and share two bands are compared one by
-one. So no link between components is left out, while a group of near copies costs a multiple
+finished. In the others, pairs that are still apart, share two bands and look alike are
+compared, large groups in chunks inside a task. So no link between components is left out, while a group of near copies costs a multiple
 of its size.
 
 Components come from label propagation with pointer jumping over confirmed links; nothing
@@ -27,6 +27,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -40,12 +41,12 @@ from .common import documents, materialize, slices
 
 WIDTH = 5
 TABLES, BUCKETS, MANTISSA = 40, 4, 10
-#: Pairs whose estimate is this far below the threshold are dropped: six standard deviations.
-MARGIN = 0.2
+#: Pairs whose estimate is this far below the threshold are dropped: four standard deviations.
+MARGIN = 0.14
 #: Below so many shingles an estimate says little; such pairs are all confirmed on sets.
-FEW = 48
-#: Groups up to this size are compared pair by pair at the end, larger ones divided first.
-SMALL_GROUP = 64
+FEW = 12
+#: Groups up to this size are joined with themselves at the end, larger ones compared in chunks.
+SMALL_GROUP, CHUNK = 64, 512
 EMPTY = np.uint16(0xFFFF)
 #: Set apart the bands of different tables, so that a band says which table it is of.
 _NAME = np.random.default_rng(20240608).integers(-(1 << 63), 1 << 63, TABLES, np.int64)
@@ -157,6 +158,59 @@ def _linked(threshold: int):
     return run
 
 
+def _least_agreeing(threshold: int) -> int:
+    return math.ceil(TABLES * BUCKETS * (threshold / 100 - MARGIN))
+
+
+def _partners(threshold: int):
+    """Of two chunks of one group: each member with its likely partners of other components."""
+
+    def run(key, table):
+        part = key[1].as_py()
+        one, two = divmod(part, 65_536)
+        chunk, rep, n, component = (table.column(c).to_numpy() for c in ("chunk", "rep", "n", "component"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), TABLES)
+        lanes = (bands ^ _NAME).view(np.uint16).reshape(len(rep), -1)
+        right = np.flatnonzero(chunk == two)
+        found: dict[int, list[int]] = {}
+        for i in np.flatnonzero(chunk == one).tolist():
+            j = right[(component[right] != component[i]) & ((rep[right] > rep[i]) | (one != two))]
+            j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * threshold]
+            same = bands[j] == bands[i]
+            smallest = np.where(same, bands[j], np.iinfo(np.int64).max).min(1) if len(j) else np.zeros(0, np.int64)
+            j = j[(same.sum(1) >= 2) & (smallest == key[0].as_py())]
+            agree = (lanes[j] == lanes[i]).sum(1)
+            j = j[(np.minimum(n[j], n[i]) < FEW) | (agree >= _least_agreeing(threshold))]
+            if len(j):
+                found[i] = rep[j].tolist()
+        wanted = {r for rows in found.values() for r in rows}
+        rows = [(r, found.get(i, [])) for i, r in enumerate(rep.tolist()) if i in found or r in wanted]
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([r for r, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.list_(pa.int64()))], names=["key", "part", "rep", "partners"])
+
+    return run
+
+
+def _confirmed(threshold: int):
+    """Links among the named partners of a group's two chunks, on full sets."""
+
+    def run(table):
+        sets: dict[int, np.ndarray] = {}
+        partners: dict[int, list[int]] = {}
+        for rep, named, text in zip(table.column("rep").to_pylist(), table.column("partners").to_pylist(), table.column("text")):
+            sets[rep] = shingles(text.as_py())
+            partners.setdefault(rep, []).extend(named)
+        links = []
+        for rep, named in partners.items():
+            for other in set(named):
+                x, y = sets[rep], sets[other]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= threshold * (len(x) + len(y) - both) > 0:
+                    links.append((min(rep, other), max(rep, other)))
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the smallest id that links reach from each linked node."""
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
@@ -188,9 +242,14 @@ class _Finder:
         near = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.threshold).select("a", "b").distinct()
         bands = lambda s: self.reps.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"bands_{s}"))
         likely = materialize(near.join(bands("a"), "a").join(bands("b"), "b").mapInArrow(_likely(self.threshold), "a long, b long").distinct(), "likely")
+        self.add(self.verified(likely))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
         text = lambda s: self.texts.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}"))
-        found = likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(_linked(self.threshold), "a long, b long").distinct()
-        found = materialize(found, "links")
+        return pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(_linked(self.threshold), "a long, b long")
+
+    def add(self, found: DataFrame) -> None:
+        found = materialize(found.distinct(), "links")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.labels = components(self.links)
 
@@ -221,28 +280,37 @@ class _Finder:
     def rest(self) -> None:
         """All pairs between components in the groups that are still unfinished.
 
-        Only pairs with two bands in common are made (a pair at the threshold has fewer with a
-        probability of 5e-6), each in one group only: that of its smallest common band. Large
-        groups are divided by a second band first, which is then the next smallest.
+        Only pairs with two bands in common, and registers enough, are looked at (a pair at the
+        threshold has fewer with a probability of 4e-5), each in one group only: that of its
+        smallest common band. Small groups are joined with themselves. Larger ones are cut into
+        chunks, and two chunks at a time are compared inside a task, which names each member's
+        partners; only confirmed links leave it.
         """
         rows = materialize(self.rows(), "rows")
         open_ = materialize(self.unfinished(rows, [F.count(F.lit(1)).alias("members")]), "open")
         left = rows.join(open_, "key").join(self.reps.select("rep", "bands"), "rep")
-        left = materialize(left.select("key", "band", "rep", "n", "component", "bands", "members"), "left", codec="none")
-        small = left.filter(F.col("members") <= SMALL_GROUP)
-        finer = left.filter(F.col("members") > SMALL_GROUP).select("*", F.explode("bands").alias("next")).filter("next > band")
-        finer = finer.withColumn("key", F.xxhash64("key", "next"))
-        again = materialize(self.unfinished(finer), "again")
+        left = materialize(left.select("key", "rep", "n", "component", "bands", "members"), "left", codec="none")
+        small = left.filter(F.col("members") <= SMALL_GROUP).drop("members")
+        a, b = (small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in small.columns if c != "key")) for s in "ab")
         common = "array_sort(array_intersect(bands_a, bands_b))"
-
-        def pairs(members: DataFrame, made_here: str) -> DataFrame:
-            a, b = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in members.columns if c != "key")) for s in "ab")
-            close = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {self.threshold}"
-            met = a.join(b, (a["key"] == b["key"]) & F.expr(f"rep_a < rep_b and component_a != component_b and {close} and {made_here}"))
-            return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b")
-
-        found = pairs(small, f"transform(array({common}), c -> size(c) >= 2 and c[0] = band_a)[0]")
-        self.confirm(found.unionByName(pairs(finer.join(again, "key"), f"transform(array({common}), c -> size(c) >= 2 and c[0] = band_a and c[1] = next_a)[0]")))
+        here = f"transform(array({common}), c -> size(c) >= 2 and c[0] = {{}})[0]"
+        lanes = " + ".join(f"if((shiftright(x, {16 * k}) & 65535) = (shiftright(y, {16 * k}) & 65535), 1, 0)" for k in range(BUCKETS))
+        agree = f"aggregate(zip_with(bands_a, bands_b, (x, y) -> {lanes}), 0, (t, k) -> t + k)"
+        likely = f"(least(n_a, n_b) < {FEW} or {agree} >= {_least_agreeing(self.threshold)})"
+        close = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {self.threshold}"
+        met = a.join(b.withColumnRenamed("key", "key_b"), F.expr(f"key = key_b and rep_a < rep_b and component_a != component_b and {close} and {here.format('key')} and {likely}"))
+        pairs = materialize(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "pairs")
+        found = self.verified(pairs)
+
+        chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+        large = left.filter(F.col("members") > SMALL_GROUP).withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), chunks - 1))
+        parts = large.withColumn("other", other).withColumn("part", F.least("chunk", "other") * 65_536 + F.greatest("chunk", "other"))
+        named = parts.select("key", "part", "chunk", "rep", "n", "component", "bands").groupBy("key", "part").applyInArrow(_partners(self.threshold), "key long, part int, rep long, partners array<bigint>")
+        named = materialize(named, "partners")
+        whole = named.join(self.texts.distinct(), "rep")
+        dense = whole.groupBy("key", "part").applyInArrow(_confirmed(self.threshold), "a long, b long")
+        self.add(found.unionByName(dense))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
