@@ -77,7 +77,7 @@ def split_tree(copies: DataFrame, shards: int, seed: int) -> DataFrame:
     return leaves.withColumn("until", F.sum("quota").over(order)).withColumn("first", F.col("until") - F.col("quota"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shard_words: int = 2_000_000, seed: int = 11) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shard_words: int = 500_000, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, shards: what the mix takes of every row.
 
     ``shards`` names an output shard for each copy of the document, the last one being the
