@@ -85,6 +85,54 @@ def align(query: str, target: str, mode: str = "global", match: int = 0, mismatc
     return Alignment(score, j, end, tuple((k, op) for k, op in runs))
 
 
+def align_affine(query: str, target: str, match: int = 2, mismatch: int = -4, open: int = -6, extend: int = -1) -> Alignment:
+    """Global alignment in which a gap of n costs ``open`` + (n - 1) ``extend``: one gap stays one."""
+    a, b = _codes(query), _codes(target)
+    n, m = len(a), len(b)
+    low = -(10**8)
+    columns = np.arange(m + 1)
+    core = np.full((n + 1, m + 1), low, np.int32)  # best that ends in a pair or a vertical gap
+    down = np.full((n + 1, m + 1), low, np.int32)  # ends in a gap of the target
+    best = np.full((n + 1, m + 1), low, np.int32)
+    core[0, 0] = 0
+    best[0] = np.where(columns == 0, 0, open + extend * (columns - 1))
+    for i in range(1, n + 1):
+        down[i] = np.maximum(best[i - 1] + open, down[i - 1] + extend)
+        core[i] = down[i]
+        core[i, 1:] = np.maximum(core[i, 1:], best[i - 1, :-1] + np.where(b == a[i - 1], match, mismatch))
+        across = np.maximum.accumulate(core[i].astype(np.int64) - extend * columns)
+        best[i] = core[i]
+        best[i, 1:] = np.maximum(core[i, 1:], across[:-1] + open - extend + extend * columns[1:])
+    steps, i, j = [], n, m
+    while i or j:
+        if not i:
+            steps += ["D"] * j
+            break
+        if best[i, j] != core[i, j]:  # a gap along the row, from where it pays
+            k = j - 1
+            while core[i, k] + open + extend * (j - k - 1) != best[i, j]:
+                k -= 1
+            steps += ["D"] * (j - k)
+            j = k
+        if j and core[i, j] == best[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+            steps.append("=" if a[i - 1] == b[j - 1] else "X")
+            i, j = i - 1, j - 1
+            continue
+        while True:
+            steps.append("I")
+            opened = down[i, j] == best[i - 1, j] + open
+            i -= 1
+            if opened or not i:
+                break
+    runs: list[list] = []
+    for op in reversed(steps):
+        if runs and runs[-1][1] == op:
+            runs[-1][0] += 1
+        else:
+            runs.append([1, op])
+    return Alignment(int(best[n, m]), 0, m, tuple((k, op) for k, op in runs))
+
+
 def edit_distance(query: str, target: str, mode: str = "global") -> int:
     return -align(query, target, mode).score
 

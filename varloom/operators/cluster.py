@@ -241,12 +241,12 @@ def consensus_alleles(sequences: DataFrame, min_size: int) -> DataFrame:
     ``sequences``: region_id, cluster_id, chrom, start (of the window), ref_seq, qname, seq.
     Windows are the caller's to bound: the table of an alignment is the product of the lengths.
     """
-    from ..functions.alignment import align
+    from ..functions.alignment import align_affine
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         text, ref, at = consensus(sorted(pdf["seq"])[:15]), pdf["ref_seq"].iloc[0], int(pdf["start"].iloc[0])
         rows, i, j = [], 0, 0
-        for n, op in align(text, ref, "global", 2, -3, -2).runs:
+        for n, op in align_affine(text, ref).runs:
             if op in "ID" and n >= min_size:
                 rows.append((pdf["region_id"].iloc[0], int(pdf["cluster_id"].iloc[0]), pdf["chrom"].iloc[0], at + j, at + j if op == "I" else at + j + n - 1, "INS" if op == "I" else "DEL", n if op == "I" else -n, text[i : i + n] if op == "I" else None, pdf["qname"].nunique(), sorted(set(pdf["qname"]))))
             i, j = i + n * (op != "D"), j + n * (op != "I")
