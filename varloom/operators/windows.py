@@ -23,7 +23,7 @@ def runs_tiled(df: DataFrame, keys: list[str], pos: str, tile: int, gap: int = 1
     from .intervals import merge
 
     parts = runs(df.withColumn("__tile", F.floor(F.col(pos) / tile)), [*keys, "__tile"], pos, gap)
-    whole = merge(parts.withColumnRenamed("n", "__n"), keys, gap=gap - 1, extra=[F.sum("__n").alias("members")])
+    whole = merge(parts.withColumnRenamed("n", "__n"), keys, gap=gap, extra=[F.sum("__n").alias("members")])
     return whole.drop("n").withColumnRenamed("members", "n")
 
 
