@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     finder.rest()
     named = sketches.select("doc_id", "n_shingles", "content").join(classes, "content", "left")
     labels = finder.labels.select(F.col("node").alias("rep"), "component")
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return named.join(labels, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
