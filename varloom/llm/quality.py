@@ -38,6 +38,7 @@ _CLASS[65:91], _CLASS[48:58], _CLASS[[ord(c) for c in "#*$%&|<>"]], _CLASS[33],
 
 def featurise(texts: pa.Array, n_chars: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, word buckets and values of each text, and its structure (texts x measures)."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives back at once what a batch has used
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     n = len(texts)
@@ -169,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Factorisat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 bounds, index, value, structure = featurise(batch.column("text"), batch.column("n_chars"))
                 parts = [(index[a:b].astype("<u4").tobytes(), value[a:b].astype("<f4").tobytes(), s.tobytes()) for a, b, s in zip(bounds, bounds[1:], structure)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *(pa.array(c, pa.binary()) for c in zip(*parts))], names=["doc_id", "quality", "i", "x", "s"])
@@ -196,7 +197,7 @@ def score_documents(docs: DataFrame, machine: FactorisationMachine) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 score = model.value.score(featurise(batch.column("text"), batch.column("n_chars")))
                 held = [zlib.crc32(b"" if k is None else str(k).encode()) % 3 == 1 for k in batch.column("doc_id").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -211,7 +212,7 @@ def keep_good(docs: DataFrame, machine: FactorisationMachine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 chars = batch.column("n_chars") if has_chars else pa.nulls(batch.num_rows, pa.int64())
                 score = model.value.score(featurise(batch.column("text"), chars))
                 yield batch.filter(pa.array(score >= 0.5))
