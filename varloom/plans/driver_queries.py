@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
 from ..functions import sequence as seq
-from ..operators import aggregates, dedup, intervals, sampling, windows
+from ..operators import aggregates, breakpoints, call, dedup, intervals, refine, sampling, windows
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -370,3 +370,135 @@ def exact_text_clusters(spark, d):
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY event_type")
 def type_statistics(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""
+SELECT event_id, key, value FROM (
+  SELECT event_id, unnest(regexp_extract_all(props, '"([^"]+)": *"?([^",}]*)"?', 1)) AS key, unnest(regexp_extract_all(props, '"([^"]+)": *"?([^",}]*)"?', 2)) AS value FROM events)
+""")
+def info_parse(spark, d):
+    pairs = '"([^"]+)": *"?([^",}]*)"?'
+    both = F.arrays_zip(F.regexp_extract_all("props", F.lit(pairs), F.lit(1)).alias("key"), F.regexp_extract_all("props", F.lit(pairs), F.lit(2)).alias("value"))
+    return table(spark, d, "events").select("event_id", F.explode(both).alias("x")).select("event_id", "x.key", "x.value")
+
+
+@query("""
+SELECT chrom, kind, min(start) AS start, max("end") AS "end", CAST(sum(size) AS INTEGER) AS sv_len, max(l_linenumber) AS support, count(*) AS members FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY chrom, kind ORDER BY start, "end", l_orderkey ROWS UNBOUNDED PRECEDING) AS g FROM (
+    SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY chrom, kind ORDER BY start, "end", l_orderkey) <= -5 THEN 0 ELSE 1 END AS opens FROM (
+      SELECT chrom, l_partkey % 5 AS kind, start, "end", "end" - start AS size, l_linenumber, l_orderkey FROM @shipments))) GROUP BY chrom, kind, g
+""")
+def neighbour_merge(spark, d):
+    rows = shipments(spark, d).withColumn("kind", F.col("l_partkey") % 5)
+    order = Window.partitionBy("chrom", "kind").orderBy("start", "end", "l_orderkey")
+    opens = F.when(F.col("start") - F.lag("end").over(order) <= -5, 0).otherwise(1)
+    rows = rows.withColumn("opens", opens).withColumn("g", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("chrom", "kind", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start")).cast("int").alias("sv_len"), F.max("l_linenumber").alias("support"), F.count(F.lit(1)).alias("members")).drop("g")
+
+
+@query("""
+WITH v AS (SELECT DISTINCT chrom, start, start AS "end", 'INS' AS svtype, CAST(l_quantity AS INTEGER) AS sv_len FROM @shipments WHERE l_linenumber = 1),
+m AS (SELECT v.*, s.l_orderkey AS q, max(CAST(s.l_quantity AS INTEGER)) AS most, sum(CAST(s.l_quantity AS INTEGER)) AS total FROM v JOIN @shipments AS s ON v.chrom = s.chrom AND s.start BETWEEN v.start - 3 AND v.start + 3 GROUP BY ALL),
+n AS (SELECT chrom, start, sv_len, count(DISTINCT q) AS k FROM m WHERE least(most, sv_len) >= 0.75 * greatest(most, sv_len) OR least(total, sv_len) >= 0.75 * greatest(total, sv_len) GROUP BY ALL)
+SELECT v.chrom, v.start, v.sv_len, CAST(coalesce(k, 0) AS INTEGER) AS recounted FROM v LEFT JOIN n ON v.chrom = n.chrom AND v.start = n.start AND v.sv_len = n.sv_len
+""")
+def recounted_support(spark, d):
+    rows = shipments(spark, d)
+    size = F.col("l_quantity").cast("int")
+    variants = rows.filter("l_linenumber = 1").select("chrom", "start", F.col("start").alias("end"), F.lit("INS").alias("svtype"), size.alias("sv_len")).distinct()
+    spots = rows.select(F.col("l_orderkey").alias("qname"), "chrom", F.col("start").alias("pos"), F.lit("I").alias("op"), size.alias("len"))
+    return refine.recount_support(variants, spots, 3).select("chrom", "start", "sv_len", "recounted")
+
+
+@query("""
+SELECT user_id, CAST(round(avg_pos) AS BIGINT) AS mean_pos, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, low) AS k FROM (
+    SELECT user_id, run, count(*) AS n, min(pos) AS low, avg(pos) AS avg_pos FROM (
+      SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+        SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos, event_id) <= 20000 THEN 0 ELSE 1 END AS opens FROM @events)) GROUP BY user_id, run)) WHERE k = 1
+""")
+def modal_position(spark, d):
+    rows = user_events(spark, d).select("user_id", F.lit("c").alias("chrom"), "pos")
+    return breakpoints.modal_place(rows, ["user_id"], 20000).select("user_id", "mean_pos", "n")
+
+
+@query("""
+SELECT chrom, CAST(count(*) AS BIGINT) AS islands, CAST(sum("end" - start + 1) AS BIGINT) AS covered FROM (
+  SELECT chrom, g, min(start) AS start, max("end") AS "end" FROM (
+    SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
+      SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM @shipments)) GROUP BY chrom, g) GROUP BY chrom
+""")
+def covered_positions(spark, d):
+    merged = intervals.merge(shipments(spark, d).select("chrom", "start", "end"))
+    return merged.groupBy("chrom").agg(F.count(F.lit(1)).alias("islands"), F.sum(F.col("end") - F.col("start") + 1).alias("covered"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, role AS a, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations),
+e AS (SELECT a, b, count(*) AS support FROM t WHERE b IS NOT NULL AND a <> b GROUP BY a, b)
+SELECT a, b, support FROM e WHERE EXISTS (SELECT 1 FROM e AS x WHERE x.a = e.b AND x.b = e.a)
+""")
+def mutual_links(spark, d):
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
+    steps = table(spark, d, "conversations").select("conv_id", F.col("role").alias("side_id"), F.lead("role").over(w).alias("mate_side_id")).filter("mate_side_id is not null and side_id <> mate_side_id")
+    links = steps.groupBy("side_id", "mate_side_id").agg(F.count(F.lit(1)).alias("support")).withColumn("group_id", F.lit(0))
+    return refine.consistent_links(links).select(F.col("side_id").alias("a"), F.col("mate_side_id").alias("b"), "support")
+
+
+@query("""
+WITH u AS (SELECT DISTINCT CAST(floor(pos / 86400.0) AS BIGINT) AS day, user_id FROM @events),
+d AS (SELECT day, lag(day) OVER (ORDER BY day) AS before FROM (SELECT DISTINCT day FROM u)),
+s AS (SELECT d.day, count(x.user_id) AS shared FROM d LEFT JOIN (SELECT a.day, a.user_id, b.day AS other FROM u AS a JOIN u AS b ON a.user_id = b.user_id) AS x ON x.day = d.day AND x.other = d.before GROUP BY d.day)
+SELECT day, CAST(sum(CASE WHEN shared >= 60 THEN 0 ELSE 1 END) OVER (ORDER BY day) AS BIGINT) AS phase_set FROM s
+""")
+def phase_blocks(spark, d):
+    days = user_events(spark, d).select(F.floor(F.col("pos") / 86400).cast("long").alias("day"), "user_id").groupBy("day").agg(F.collect_set("user_id").alias("users"))
+    nodes = days.select(F.col("day").alias("variant_id"), F.lit("c").alias("chrom"), F.col("day").alias("start"), "users").withColumn("reads", F.col("users").cast("array<string>")).withColumn("others", F.array().cast("array<string>"))
+    linked = call.links_between(nodes.drop("users"), 60)
+    run = Window.partitionBy("chrom").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    return linked.select(F.col("start").alias("day"), F.sum((~F.col("linked")).cast("long")).over(run).alias("phase_set"))
+
+
+@query("""
+SELECT hour, n, n_view, n_click, n_purchase, n_other, CASE WHEN n >= 12 AND n_purchase >= 2 THEN 'indel' WHEN n_click >= 0.5 * n THEN 'clip' ELSE 'none' END AS kind FROM (
+  SELECT CAST(floor(pos / 3600.0) AS BIGINT) AS hour, count(*) AS n, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS n_view, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS n_click, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS n_purchase,
+    CAST(count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase')) AS BIGINT) AS n_other FROM @events GROUP BY 1)
+""")
+def pileup_counts(spark, d):
+    of = lambda t: F.count_if(F.col("event_type") == t).alias(f"n_{t}")
+    rows = windows.bins(user_events(spark, d), [], "pos", 3600, [F.count(F.lit(1)).alias("n"), of("view"), of("click"), of("purchase"), F.count_if(~F.col("event_type").isin("view", "click", "purchase")).alias("n_other")])
+    kind = F.when((F.col("n") >= 12) & (F.col("n_purchase") >= 2), "indel").when(F.col("n_click") >= 0.5 * F.col("n"), "clip").otherwise("none")
+    return rows.withColumnRenamed("bin", "hour").withColumn("kind", kind)
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT chrom, start, row_number() OVER (PARTITION BY chrom ORDER BY start) AS k FROM (SELECT DISTINCT chrom, start FROM @shipments)),
+f AS (SELECT chrom, start, k, start AS anchor, 1 AS chunk FROM w WHERE k = 1
+  UNION ALL SELECT w.chrom, w.start, w.k, CASE WHEN w.start < f.anchor + 100 OR (w.start < f.anchor + 200 AND w.start - f.start < 3) OR w.start - f.start < 1 THEN f.anchor ELSE w.start END,
+    CASE WHEN w.start < f.anchor + 100 OR (w.start < f.anchor + 200 AND w.start - f.start < 3) OR w.start - f.start < 1 THEN f.chunk ELSE f.chunk + 1 END FROM f JOIN w ON w.chrom = f.chrom AND w.k = f.k + 1)
+SELECT chrom, CAST(chunk AS INTEGER) AS chunk, min(start) AS start, max(start) AS "end", count(*) AS n FROM f GROUP BY chrom, chunk
+""")
+def work_chunks(spark, d):
+    rows = shipments(spark, d).select("chrom", "start").distinct().withColumn("end", F.col("start"))
+    return windows.chunks(rows, ["chrom"], 100, 200, 3, 1).groupBy("chrom", "chunk").agg(F.min("start").alias("start"), F.max("start").alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH t AS (SELECT item_id, upper(text[1:40]) AS s FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7f]*'))
+SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.s, b.s) AS distance FROM t AS a JOIN t AS b ON b.item_id = a.item_id + 1
+""")
+def aligned_distance(spark, d):
+    """The edit distance by full alignment in an Arrow function, as consensus work needs it."""
+    import pyarrow as pa
+
+    from ..functions.alignment import edit_distance
+
+    rows = table(spark, d, "benchmark").filter(~F.col("text").rlike("[^\\x00-\\x7f]")).select("item_id", F.upper(F.substring("text", 1, 40)).alias("s"))
+    after = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("s").alias("t"))
+
+    def run(batches):
+        for x in batches:
+            distance = [edit_distance(p, q) for p, q in zip(x.column("s").to_pylist(), x.column("t").to_pylist())]
+            yield pa.RecordBatch.from_arrays([x.column("item_id"), x.column("b"), pa.array(distance, pa.int64())], names=["a", "b", "distance"])
+
+    return rows.join(after, "item_id").mapInArrow(run, "a long, b long, distance long")
