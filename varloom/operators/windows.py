@@ -32,12 +32,19 @@ def chunks(df: DataFrame, keys: list[str], near: int = 1000, far: int = 2000, ga
 
     A region joins while it starts within ``near`` of the anchor, up to ``far`` if it is less
     than ``gap`` from the region before, and beyond if less than ``close``. Adds ``chunk``.
-    The anchor makes this a fold in order, which runs inside one row a key of thin structs.
+    The anchor makes this a fold in order. Where a region begins past every rule's reach from all
+    before it, a chunk begins for certain; so the fold runs over the stretch between two such
+    places only, not over a contig.
     """
-    item = F.struct("start", "end")
-    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__r"))
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) + max(near, gap, close)
+    opens = F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))
+    rows = df.withColumn("__opens", opens).withColumn("__stretch", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = rows.groupBy(*keys, "__stretch").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__r"))
     step = (
         f"named_struct('anchor', if(joins, a.anchor, r.start), 'last', r.end, 'chunk', if(joins, a.chunk, a.chunk + 1), 'out', concat(a.out, array(named_struct('start', r.start, 'end', r.end, 'chunk', if(joins, a.chunk, a.chunk + 1)))))"
     ).replace("joins", f"a.chunk > 0 and (r.start < a.anchor + {near} or (r.start < a.anchor + {far} and r.start - a.last < {gap}) or r.start - a.last < {close})")
     fold = f"aggregate(__r, named_struct('anchor', 0L, 'last', 0L, 'chunk', 0, 'out', cast(array() as array<struct<start:bigint,end:bigint,chunk:int>>)), (a, r) -> {step}).out"
-    return lists.select(*keys, F.explode(F.expr(fold)).alias("c")).select(*keys, "c.*")
+    parts = lists.select(*keys, "__stretch", F.explode(F.expr(fold)).alias("c"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("__stretch", "c.chunk"))
+    return parts.select(*keys, "c.start", "c.end", number.alias("chunk"))
