@@ -14,19 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
 from ..functions import sequence as seq
-from ..operators import aggregates, breakpoints, call, dedup, intervals, refine, sampling, windows
+from ..operators import aggregates, breakpoints, call, detect, dedup, intervals, refine, sampling, splitreads, windows
+from ..operators import cigar as cg
+from ..sources import files
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 SHIPMENTS = "(SELECT l_suppkey AS chrom, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS start, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS \"end\", l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem)"
 EVENTS = "(SELECT event_id, user_id, event_type, value, props, CAST(floor(epoch(ts)) AS BIGINT) AS pos FROM events)"
+ALIGNMENTS = """(SELECT *, a || 'S' || b || 'M' || c || 'I' || d || '=' || e || 'D' || '3X' || f || 'H' AS cigar FROM (
+  SELECT l_orderkey, l_linenumber, l_suppkey AS chrom, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS pos, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand,
+    l_linenumber AS a, CAST(l_quantity AS BIGINT) AS b, l_partkey % 7 + 1 AS c, l_orderkey % 11 + 1 AS d, l_suppkey % 5 + 1 AS e, l_partkey % 3 + 1 AS f FROM lineitem))"""
 
 
 def query(sql: str):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         Q[f.__name__] = f
-        SQL[f.__name__] = sql.replace("@shipments", SHIPMENTS).replace("@events", EVENTS)
+        SQL[f.__name__] = sql.replace("@alignments", ALIGNMENTS).replace("@shipments", SHIPMENTS).replace("@events", EVENTS)
         return f
 
     return add
@@ -46,6 +51,14 @@ def user_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props", second.alias("pos"))
 
 
+def alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a place, a strand and a CIGAR made of the row's own numbers."""
+    pos = F.unix_date(F.to_date("l_shipdate")).cast("long")
+    parts = (F.col("l_linenumber"), "S", F.col("l_quantity").cast("long"), "M", F.col("l_partkey") % 7 + 1, "I", F.col("l_orderkey") % 11 + 1, "=", F.col("l_suppkey") % 5 + 1, "D3X", F.col("l_partkey") % 3 + 1, "H")
+    cigar = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("chrom"), pos.alias("pos"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), cigar.alias("cigar"))
+
+
 _MERGED = """
 SELECT chrom, island, min(start) AS start, max("end") AS "end", count(*) AS n FROM (
   SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
@@ -175,9 +188,9 @@ def tile_assign(spark, d):
     return intervals.tiles(contigs, 1000, 50)
 
 
-@query("""SELECT user_id, CAST(floor(pos / 21600.0) AS BIGINT) AS bin, count(*) AS n, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS n_purchase, avg(value) AS mean_value FROM @events GROUP BY ALL""")
+@query("""SELECT user_id, CAST(floor(pos / 21600.0) AS BIGINT) AS bin, count(*) AS n, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS n_purchase, round(avg(value), 6)::DOUBLE AS mean_value FROM @events GROUP BY ALL""")
 def sub_window_counts(spark, d):
-    return windows.bins(user_events(spark, d), ["user_id"], "pos", 21600, [F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("n_purchase"), F.avg("value").alias("mean_value")])
+    return windows.bins(user_events(spark, d), ["user_id"], "pos", 21600, [F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("n_purchase"), F.round(F.avg("value"), 6).alias("mean_value")])
 
 
 @query("""
@@ -502,3 +515,150 @@ def aligned_distance(spark, d):
             yield pa.RecordBatch.from_arrays([x.column("item_id"), x.column("b"), pa.array(distance, pa.int64())], names=["a", "b", "distance"])
 
     return rows.join(after, "item_id").mapInArrow(run, "a long, b long, distance long")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, pos + b + d + e + 3 - 1 AS ref_end, a + b + c + d + 3 + f AS query_len, CASE WHEN strand = '-' THEN b + c + d + 3 + f ELSE a + 1 END AS query_start, CASE WHEN strand = '-' THEN f + 1 ELSE a + b + c + d + 3 END AS query_end,
+  CAST(a AS INTEGER) AS left_clip, CAST(f AS INTEGER) AS right_clip FROM @alignments
+""")
+def cigar_spans(spark, d):
+    rows = alignments(spark, d).withColumn("ops", cg.operations(F.col("cigar")))
+    o = F.col("ops")
+    span = cg.read_span(o, F.col("strand") == "-")
+    return rows.select("l_orderkey", "l_linenumber", cg.reference_end(F.col("pos"), o).alias("ref_end"), cg.query_length(o).alias("query_len"), span["start"].alias("query_start"), span["end"].alias("query_end"), cg.clip(o, "left")["size"].alias("left_clip"), cg.clip(o, "right")["size"].alias("right_clip"))
+
+
+@query("""
+SELECT chrom, op, CAST(sum(len) AS BIGINT) AS bases, CAST(sum(rpos) AS BIGINT) AS rpos_sum, CAST(sum(qpos) AS BIGINT) AS qpos_sum, count(*) AS n FROM (
+  SELECT chrom, 'S' AS op, a AS len, pos AS rpos, 1 AS qpos FROM @alignments UNION ALL SELECT chrom, 'M', b, pos, a + 1 FROM @alignments UNION ALL SELECT chrom, 'I', c, pos + b, a + b + 1 FROM @alignments UNION ALL
+  SELECT chrom, '=', d, pos + b, a + b + c + 1 FROM @alignments UNION ALL SELECT chrom, 'D', e, pos + b + d, a + b + c + d + 1 FROM @alignments UNION ALL SELECT chrom, 'X', 3, pos + b + d + e, a + b + c + d + 1 FROM @alignments UNION ALL
+  SELECT chrom, 'H', f, pos + b + d + e + 3, a + b + c + d + 4 FROM @alignments) GROUP BY chrom, op
+""")
+def cigar_runs(spark, d):
+    runs = cg.aligned_runs(alignments(spark, d), seq=None)
+    return runs.groupBy("chrom", "op").agg(F.sum("len").alias("bases"), F.sum("rpos").alias("rpos_sum"), F.sum("qpos").alias("qpos_sum"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, op, pos, len FROM (SELECT l_orderkey, l_linenumber, 'I' AS op, pos + b AS pos, CAST(c AS INTEGER) AS len FROM @alignments UNION ALL SELECT l_orderkey, l_linenumber, 'D', pos + b + d, CAST(e AS INTEGER) FROM @alignments) WHERE len >= 4
+""")
+def signature_runs(spark, d):
+    runs = cg.aligned_runs(alignments(spark, d), seq=None)
+    return cg.signatures(runs, 4).select("l_orderkey", "l_linenumber", "op", F.col("rpos").alias("pos"), "len")
+
+
+@query("""SELECT chrom, count(*) AS n, CAST(sum(b + d) AS BIGINT) AS aligned, CAST(sum(c + e + 3) AS BIGINT) AS wrong, CAST(sum(c + e + 3) AS DOUBLE) / sum(b + c + d + e + 3) AS rate FROM @alignments GROUP BY chrom""")
+def error_rates(spark, d):
+    runs = cg.aligned_runs(alignments(spark, d), seq=None)
+    of = lambda *k: F.sum(F.when(F.col("op").isin(*k), F.col("len")).otherwise(0))
+    rows = runs.groupBy("chrom").agg(F.count_if(F.col("op") == "M").alias("n"), of("M", "=").alias("aligned"), of("X", "I", "D").alias("wrong"), of("M", "=", "X", "I", "D").alias("all"))
+    return rows.select("chrom", "n", "aligned", "wrong", (F.col("wrong").cast("double") / F.col("all")).alias("rate"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, chrom || '' AS chrom, pos, strand, pos + b + d + e + 3 - 1 AS ref_end, CAST(l_linenumber * 10 AS INTEGER) AS mapq FROM @alignments""")
+def split_tags(spark, d):
+    """Segments told by SA tags, parsed back from the tag's text."""
+    tag = F.concat_ws(",", F.col("chrom").cast("string"), F.col("pos").cast("string"), "strand", "cigar", (F.col("l_linenumber") * 10).cast("string"), F.lit("0"))
+    rows = alignments(spark, d).select("l_orderkey", "l_linenumber", F.explode(F.filter(F.split(F.concat(tag, F.lit(";")), ";"), lambda x: x != "")).alias("x")).withColumn("f", F.split("x", ","))
+    pos = F.col("f")[1].cast("long")
+    return rows.select("l_orderkey", "l_linenumber", F.col("f")[0].alias("chrom"), pos.alias("pos"), F.col("f")[2].alias("strand"), cg.reference_end(pos, cg.operations(F.col("f")[3])).alias("ref_end"), F.col("f")[4].cast("int").alias("mapq"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'DEL' AS svtype, CAST(-b AS INTEGER) AS sv_len, pos + b AS "end", CAST(c AS INTEGER) AS dp, 'chr' || chrom AS mate_chrom, pos AS mate_pos, strand = '+' AS base_first FROM @alignments""")
+def info_and_breakends(spark, d):
+    """INFO text and breakend alleles, written and parsed back."""
+    b, c = F.regexp_extract("cigar", "S([0-9]+)M", 1), F.regexp_extract("cigar", "M([0-9]+)I", 1)
+    end = (F.col("pos") + b.cast("long")).cast("string")
+    info = F.concat(F.lit("END="), end, F.lit(";SVTYPE=DEL;SVLEN=-"), b, F.lit(";DP="), c, F.lit(";;FLAG"))
+    place = F.concat(F.lit("chr"), F.col("chrom").cast("string"), F.lit(":"), F.col("pos").cast("string"))
+    alt = F.when(F.col("strand") == "+", F.concat(F.lit("N["), place, F.lit("["))).otherwise(F.concat(F.lit("]"), place, F.lit("]N")))
+    rows = alignments(spark, d).select("l_orderkey", "l_linenumber", files.info_map(info).alias("info"), files.breakend(alt).alias("bnd"))
+    get = lambda k: F.try_element_at("info", F.lit(k))
+    return rows.select("l_orderkey", "l_linenumber", get("SVTYPE").alias("svtype"), get("SVLEN").cast("int").alias("sv_len"), get("END").cast("long").alias("end"), get("DP").cast("int").alias("dp"), "bnd.mate_chrom", "bnd.mate_pos", "bnd.base_first")
+
+
+@query("""
+WITH v AS (SELECT l_partkey AS g, count(*) FILTER (l_returnflag = 'A') AS dup, count(*) FILTER (l_returnflag = 'N') AS inv, count(*) FILTER (l_returnflag = 'R') AS tra, count(DISTINCT l_suppkey % 2) > 1 AS crosses, CAST(max(l_extendedprice) - min(l_extendedprice) AS BIGINT) AS dist FROM lineitem GROUP BY 1)
+SELECT g, CASE WHEN greatest(dup, inv, tra) < 12 / 2.0 THEN 'UNC' WHEN crosses AND g % 3 = 0 THEN 'TRA' WHEN dup = greatest(dup, inv, tra) THEN 'DUP' WHEN inv = greatest(dup, inv, tra) THEN 'INV' WHEN dist < 5000 THEN 'UNC' ELSE 'TRA' END AS svtype FROM v
+""")
+def type_decision(spark, d):
+    of = lambda f: F.count_if(F.col("l_returnflag") == f)
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("g")).agg(of("A").alias("dup"), of("N").alias("inv"), of("R").alias("tra"), (F.count_distinct(F.col("l_suppkey") % 2) > 1).alias("crosses"), F.round(F.max("l_extendedprice") - F.min("l_extendedprice")).cast("long").alias("dist"))
+    return rows.select("g", splitreads.decide(F.col("dup"), F.col("inv"), F.col("tra"), F.lit(12), F.col("crosses") & (F.col("g") % 3 == 0), F.col("dist")).alias("svtype"))
+
+
+@query("""
+WITH s AS (SELECT chrom, start // 30 AS w, avg(l_quantity) AS mean_depth, count(*) AS signatures, min(start) AS start, max(start) AS "end", count(*) FILTER (l_linenumber >= 5) AS high_bases, avg(CASE WHEN l_linenumber >= 4 THEN 1.0 ELSE 0.0 END) AS raised FROM @shipments GROUP BY 1, 2)
+SELECT chrom, w, signatures FROM s WHERE NOT (mean_depth <= 2.5 OR signatures <= 2.5 OR signatures / greatest(mean_depth, 1) < 0.05) AND NOT ("end" - start + 1 < 18) AND (signatures >= 5 OR (mean_depth < 15 AND signatures >= 2) OR (mean_depth < 6 AND signatures >= 1) OR high_bases > 0 OR raised >= 0.1)
+""")
+def region_gate(spark, d):
+    rows = shipments(spark, d).groupBy("chrom", F.floor(F.col("start") / 30).cast("long").alias("w")).agg(
+        F.avg("l_quantity").alias("mean_depth"), F.count(F.lit(1)).alias("signatures"), F.min("start").alias("start"), F.max("start").alias("end"), F.count_if(F.col("l_linenumber") >= 5).alias("high_bases"), F.avg(F.when(F.col("l_linenumber") >= 4, 1.0).otherwise(0.0)).alias("raised_share"),
+    )
+    rows = rows.withColumn("consensus_bases", F.lit(0)).withColumn("large_bases", F.lit(0)).withColumn("zero_bases", F.lit(0))
+    return rows.filter(detect.indel_gate(5, 18)).select("chrom", "w", "signatures")
+
+
+@query("""
+WITH v AS (SELECT DISTINCT chrom, start FROM @shipments WHERE l_linenumber = 1)
+SELECT v.chrom, v.start, CAST(count(DISTINCT s.l_orderkey) AS INTEGER) AS dp FROM v JOIN @shipments AS s ON v.chrom = s.chrom AND s.start <= v.start AND v.start <= s."end" GROUP BY v.chrom, v.start
+""")
+def spanning_depth(spark, d):
+    rows = shipments(spark, d)
+    calls = rows.filter("l_linenumber = 1").select("chrom", "start").distinct().withColumn("support", F.lit(0))
+    return call.spanning_depth(calls, rows.withColumn("qname", F.col("l_orderkey").cast("string"))).select("chrom", "start", "dp")
+
+
+@query("""
+WITH n AS (SELECT chrom, start, CAST("end" - start AS INTEGER) AS size, l_orderkey, l_linenumber FROM @shipments WHERE l_linenumber > 1), k AS (SELECT chrom AS c, start AS s, CAST("end" - start AS INTEGER) AS z FROM @shipments WHERE l_linenumber = 1)
+SELECT chrom, start, size, l_orderkey, l_linenumber FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE c = chrom AND abs(start - s) < 10 AND least(size, z) > 0.9 * greatest(size, z))
+""")
+def unknown_variants(spark, d):
+    rows = shipments(spark, d).select("chrom", "start", (F.col("end") - F.col("start")).cast("int").alias("sv_len"), "l_orderkey", "l_linenumber")
+    return dedup.not_already_known(rows.filter("l_linenumber > 1"), rows.filter("l_linenumber = 1")).select("chrom", "start", F.col("sv_len").alias("size"), "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey, l_returnflag) AS most FROM lineitem) WHERE l_quantity >= 30 OR l_quantity >= 0.5 * most""")
+def small_signatures(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("op"), F.col("l_quantity").alias("len"))
+    return dedup.drop_small_signatures(rows, ["l_orderkey"], 0.5, 30).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH z AS (SELECT chrom, prev + 1 AS s, start - 1 AS e FROM (SELECT chrom, start, lag(top) OVER (PARTITION BY chrom ORDER BY start) AS prev FROM (
+    SELECT chrom, g, min(start) AS start, max("end") AS top FROM (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
+      SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM @shipments)) GROUP BY chrom, g)) WHERE start - prev - 1 >= 2),
+x AS (SELECT z.chrom, least(z.s, min(l.start)) AS s, greatest(z.e, max(l."end")) AS e FROM z JOIN @shipments AS l ON l.chrom = z.chrom AND l.start <= z.e + 1 AND z.s <= l."end" + 1 GROUP BY z.chrom, z.s, z.e),
+u AS (SELECT * FROM z UNION ALL SELECT * FROM x)
+SELECT chrom, min(s) AS start, max(e) AS "end" FROM (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM u)) GROUP BY chrom, g
+""")
+def zero_cov_extended(spark, d):
+    rows = shipments(spark, d).select("chrom", "start", "end")
+    return refine.extend_zero_runs(intervals.gaps(rows), rows)
+
+
+@query("""
+SELECT l_orderkey, l_suppkey, q FROM (SELECT l_orderkey, l_suppkey, CAST(sum(l_quantity) AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY sum(l_quantity) DESC, l_suppkey) AS r, sum(sum(l_quantity)) OVER (PARTITION BY l_orderkey) AS t FROM lineitem GROUP BY 1, 2) WHERE r <= 2 AND q >= 0.1 * t
+""")
+def strongest_mates(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("support"))
+    rows = rows.select(F.col("l_orderkey").alias("group_id"), F.lit(0).alias("side_id"), F.lit("R").alias("end"), F.col("l_suppkey").alias("mate_side_id"), "support")
+    return refine.top_mates(rows).select(F.col("group_id").alias("l_orderkey"), F.col("mate_side_id").alias("l_suppkey"), F.col("support").alias("q"))
+
+
+@query("""
+WITH t AS (SELECT item_id AS k, upper(text[1:50]) AS s, lag(upper(text[1:50])) OVER (ORDER BY item_id) AS p FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7f]*'))
+SELECT k, 1 - levenshtein(s, p)::DOUBLE / greatest(length(s), length(p)) >= 0.25 AS alike FROM t WHERE p IS NOT NULL
+""")
+def similar_neighbours(spark, d):
+    rows = table(spark, d, "benchmark").filter(~F.col("text").rlike("[^\\x00-\\x7f]")).select(F.col("item_id").alias("k"), F.substring("text", 1, 50).alias("s"))
+    rows = rows.withColumn("p", F.lag("s").over(Window.orderBy("k"))).filter("p is not null")
+    return rows.select("k", seq.is_similar(F.col("s"), F.col("p"), 0.25).alias("alike"))
+
+
+@query("""SELECT item_id, i AS pos, upper(reverse(translate(text[i:i], 'ACGTacgt', 'TGCAtgca'))) AS base FROM (SELECT item_id, text, unnest(range(1, 31)) AS i FROM benchmark) WHERE i <= length(text) AND regexp_full_match(text[i:i], '[ACGTacgt]')""")
+def complement_bases(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("i")).filter("i <= length(text)")
+    rows = rows.withColumn("b", F.substring("text", F.col("i"), F.lit(1))).filter(F.col("b").rlike("^[ACGTacgt]$"))
+    return rows.select("item_id", F.col("i").cast("long").alias("pos"), F.upper(seq.base_at(F.col("b"), F.lit(1), F.lit(True))).alias("base"))
