@@ -16,4 +16,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from varloom.plans.storage import release
+
+    release(session)
     session.stop()

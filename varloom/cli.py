@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators import call, cluster
 from .plans import pipeline
 from .plans.parameters import PRESETS, tumor
+from .plans.storage import release
 from .sources import alignments, files, writers
 
 COMMANDS = ("det", "cns", "call", "all", "det-cns")
@@ -76,7 +77,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def main(argv: list[str] | None = None) -> None:
-    run(SparkSession.builder.appName("varloom").getOrCreate(), parser().parse_args(argv))
+    spark = SparkSession.builder.appName("varloom").getOrCreate()
+    run(spark, parser().parse_args(argv))
+    release(spark)
 
 
 if __name__ == "__main__":
