@@ -57,11 +57,17 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     and makes sure that branches reusing ``df`` see the same rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/varloom/{uuid.uuid4().hex}/{tag}"
+    path = f"{shared_dir(spark)}/varloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete this application's shared tables; results that still read them must be written by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/varloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total UTF-8 bytes of a text column: one scan, one number to the driver."""
     return int(docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
