@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_bytes
+from .common import documents, text_bytes, trim
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double"
 #: Hashes of what is no word: the end of a text and the state before its first word.
@@ -186,6 +186,8 @@ def _send(order: int, shards: int):
                 a, b = edges[s], edges[s + 1]
                 rows.append((s, key[0].as_py(), k, packed(block.uniques[k][a:b]), block.counts[k][a:b].tobytes()))
         columns = list(zip(*rows))
+        del block
+        trim()
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=[x.split()[0] for x in _SENT.split(", ")])
 
     return run
@@ -212,6 +214,7 @@ def _answer():
             part = totals_of[i]
             out.append(bytes([part.dtype.itemsize]) + part.tobytes())
         n = len(levels)
+        trim()
         return pa.table([table.column("block").cast(pa.int32()), table.column("shard").cast(pa.int32()), table.column("level").cast(pa.int32()), pa.array(out, pa.binary()), pa.array([tokens] * n, pa.int64()), pa.array([vocabulary] * n, pa.int64())], names=[x.split()[0] for x in _ANSWER.split(", ")])
 
     return run
