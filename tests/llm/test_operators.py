@@ -430,3 +430,12 @@ def test_estimates_are_corrected():
 def test_registry_names():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_rows_keep_their_columns(odd, nothing):
+    """Stages that return documents: clashing names, null rows and empty tables."""
+    for stage in (pii.mask, mixing.mix):
+        assert stage(odd).dtypes == odd.dtypes and stage(nothing).dtypes == odd.dtypes and stage(nothing).count() == 0
+    assert pii.mask(odd).count() == len(ROWS)
+    masked = [r.text for r in pii.mask(odd).collect() if r.text and "<email>" in r.text]
+    assert masked and all(x in masked[0] for x in ("<phone>", "<card>", "<ip>")) and "ann.lee" not in masked[0]
