@@ -169,6 +169,29 @@ def test_sampling_keeps_reads_whole(spark):
     assert {r["count"] for r in got} == {2} and 4 <= len(got) <= 6
 
 
+def test_depth_limits(spark):
+    rows = [(f"r{i}", "c", 10, 1009) for i in range(400)] + [(f"s{i}", "c", 250_000, 250_999) for i in range(20)]
+    df = spark.createDataFrame(rows, "qname string, chrom string, start long, end long")
+    assert al.skip_ultra_deep(df, 3.0).count() == 20
+    got = sampling.limit_depth(df, 1.0)
+    assert got.filter("start = 10").count() == 100 and got.filter("start > 10").count() == 20
+
+
+def test_dense_reads(spark):
+    rows = [("a", 0, "c", 1, 60, "500M20D500M", "A" * 1000, 0, None, None), ("b", 0, "c", 1, 60, "10M30I" * 20 + "10M", "A" * 900, 0, None, None)]
+    df = al.with_ends(spark.createDataFrame(rows, ALN))
+    assert [r.qname for r in al.drop_dense_reads(df, 15.0).collect()] == ["a"]
+    cover = al.local_coverage(df, ["chrom"]).first()
+    assert (cover.bases, cover.reads, cover.span, cover.coverage) == (1900, 2, 1020, 4 * 1900 / 1020)
+
+
+def test_user_regions(spark):
+    df = spark.createDataFrame([("c", 10, 20, 15), ("c", 100, 120, 110), ("d", 5, 6, 5)], "chrom string, start long, end long, pos long")
+    limits = spark.createDataFrame([("c", 15, 105), ("d", None, None)], "chrom string, start long, end long")
+    ask = lambda mode: sorted(r.start for r in intervals.in_regions(df, limits, mode).collect())
+    assert (ask("overlap"), ask("contained"), ask("point")) == ([5, 10, 100], [5], [5, 10])
+
+
 def test_two_alleles():
     S = cluster.Signature
     reads = {f"a{i}": [S("c", 100 + i, "I", 60)] for i in range(6)} | {f"b{i}": [S("c", 100, "I", 400)] for i in range(5)} | {"n": []}

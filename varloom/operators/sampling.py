@@ -25,3 +25,19 @@ def sample_reads(reads: DataFrame, keys: list[str], max_depth: float, seed: int
     named = named.withColumn("budget", max_depth * (F.max("high").over(span) - F.min("low").over(span) + 1))
     kept = budget_sample(named, keys, "size", F.col("budget"), ["first", F.xxhash64("qname", F.lit(seed)), "qname"])
     return reads.join(kept.select(*keys, "qname"), [*keys, "qname"], "left_semi")
+
+
+def limit_depth(reads: DataFrame, max_depth: float, tile: int = 100_000, seed: int = 1) -> DataFrame:
+    """Alignments thinned to ``max_depth`` where a tile of starts is deeper; others stay whole.
+
+    A tile's budget is its own width times the depth, so the thinned tiles need no look at
+    their neighbours, and a read's alignments in one tile stay or go together.
+    """
+    rows = reads.withColumn("__tile", F.floor(F.col("start") / tile))
+    size = F.sum(F.col("end") - F.col("start") + 1)
+    deep = rows.groupBy("chrom", "__tile").agg(size.alias("__bases")).filter(F.col("__bases") > max_depth * tile).drop("__bases")
+    many = rows.join(deep, ["chrom", "__tile"], "left_semi")
+    named = many.groupBy("chrom", "__tile", "qname").agg(size.alias("size"))
+    kept = budget_sample(named, ["chrom", "__tile"], "size", F.lit(max_depth * tile), [F.xxhash64("qname", F.lit(seed)), "qname"]).drop("size")
+    thin = many.join(kept, ["chrom", "__tile", "qname"], "left_semi")
+    return rows.join(deep, ["chrom", "__tile"], "left_anti").unionByName(thin).drop("__tile")

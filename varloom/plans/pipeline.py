@@ -35,6 +35,7 @@ class Candidates:
 def prepared(reads: DataFrame, p: Parameters, limits: DataFrame | None = None) -> DataFrame:
     """Usable alignments with exact runs where the MD tag tells them, inside the user's regions."""
     rows = al.with_ends(cigar.with_exact_cigar(al.usable(reads, p.min_mapq)))
+    rows = sampling.limit_depth(al.skip_ultra_deep(rows), p.max_depth)
     rows = al.drop_dense_reads(rows, p.max_density, p.internal_size)
     return rows if limits is None else in_regions(rows, limits, extend=5_000)
 

@@ -165,3 +165,10 @@ def drop_dense_reads(df: DataFrame, max_density: float, min_size: int = 18, shor
     reads = rows.groupBy("qname").agg(F.max("__density").alias("most"), F.bool_or("__bad").alias("bad"), F.bool_and(F.col("sa").isNull()).alias("alone"))
     kept = reads.filter(~F.col("bad") & ((F.col("most") <= max_density) | (F.col("alone") & (F.col("most") <= 1.5 * max_density))))
     return df.join(kept.select("qname"), "qname", "left_semi")
+
+
+def skip_ultra_deep(df: DataFrame, limit: float = 5_000.0, tile: int = 100_000) -> DataFrame:
+    """Without the alignments that begin in tiles covered more than ``limit`` times (collapsed repeats)."""
+    at = F.floor(F.col("start") / tile)
+    deep = df.groupBy("chrom", at.alias("__tile")).agg((F.sum(F.col("end") - F.col("start") + 1) / tile).alias("__depth")).filter(F.col("__depth") > limit)
+    return df.withColumn("__tile", at).join(deep.select("chrom", "__tile"), ["chrom", "__tile"], "left_anti").drop("__tile")
