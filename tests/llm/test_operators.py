@@ -302,7 +302,7 @@ def test_packing(odd, nothing, library):
 
 
 def test_token_files(odd, nothing, library):
-    shards = token_files.write_shards(odd, subwords.vocabulary_path("word_bpe_49k.json"), partition_bytes=40_000, shard_bytes=4_000)
+    shards = token_files.write_shards(odd, subwords.vocabulary_path("word_bpe_49k.json"), partition_bytes=2_000, shard_bytes=4_000)
     assert shards.count() > 1
     got = sorted(token_files.read_back(shards).collect(), key=lambda r: r.start)
     want, at = library("word_bpe_49k.json", 2), 0

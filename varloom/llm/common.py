@@ -62,6 +62,15 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``, from file sizes and without a scan; else the texts' bytes."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # no planner to ask in this kind of session
+        size = 0
+    return size if 0 < size < 1 << 55 else text_bytes(df)
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's shared tables; results that still read them must be written by then."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/varloom/{spark.sparkContext.applicationId}")

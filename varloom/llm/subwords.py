@@ -35,7 +35,7 @@ class Encoder:
     becomes the old one, and what is used again moves to the young one.
     """
 
-    def __init__(self, path: str, keeps_space: bool, end_id: int, cache_units: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, end_id: int, cache_units: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pa.set_memory_pool(pa.system_memory_pool())  # gives back at once what a batch has used
         from tokenizers import Tokenizer

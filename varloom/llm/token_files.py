@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, text_bytes
+from .common import documents, materialize, planned_bytes, slices
 from .subwords import encoder, vocabulary_path
 
 SHARD = "first_key long, n_rows long, n_ids long, width int, payload binary, row_lengths binary, row_keys binary, displacements binary, fingerprints binary, entries binary"
@@ -156,7 +156,7 @@ def shard_writer(path: str, end_id: int, shard_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([v]) if isinstance(v, bytes) else pa.array([v], pa.int32() if i == 3 else pa.int64()) for i, v in enumerate(record)], names=names)
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 got, bounds = coder.encode(batch.column("text"))
                 key = batch.column("doc_id").fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
                 if held >= shard_bytes and keys and key[0] != keys[-1][-1]:  # a key's rows stay in one shard
@@ -172,14 +172,14 @@ def shard_writer(path: str, end_id: int, shard_bytes: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 2, partition_bytes: int = 32 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = 2, partition_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """Write the id files of ``docs`` to the shared folder; returns the table of shards.
 
-    The number of range partitions follows the input's bytes, so a task's share stays the same
-    at any size.
+    The number of range partitions follows the input's planned (stored) size, so a task's share
+    stays the same at any size; a task holds one shard at a time, whatever its share.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    n = max(1, -(-text_bytes(rows) // partition_bytes))
+    n = max(1, -(-planned_bytes(rows) // partition_bytes))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(shard_writer(path, end_id, shard_bytes), SHARD), "shards")
 
