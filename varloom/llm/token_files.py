@@ -172,7 +172,7 @@ def shard_writer(path: str, end_id: int, shard_bytes: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 2, partition_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = 2, partition_bytes: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """Write the id files of ``docs`` to the shared folder; returns the table of shards.
 
     The number of range partitions follows the input's planned (stored) size, so a task's share
@@ -204,7 +204,7 @@ def read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_back(shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 from the files.
 
-    The running total goes over shard totals only, a few numbers for each 8 MB of ids.
+    The running total goes over shard totals only, a few numbers for each 4 MB of ids.
     """
     order = Window.orderBy("first_key")
     starts = shards.select("first_key", "n_ids").withColumn("shard_start", F.sum("n_ids").over(order) - F.col("n_ids")).drop("n_ids")
