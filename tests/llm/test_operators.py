@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -204,6 +205,16 @@ def test_ratio_rejects_what_the_target_lacks(spark):
     assert min(scores[k] for k in scores if k % 2) > 0 > max(scores[k] for k in scores if not k % 2)
 
 
+def test_ratio_holds_for_a_large_vocabulary(spark, tmp_path):
+    r = random.Random(4)
+    texts = [" ".join(f"{'junk' if k % 60 == 0 else 'word'}{r.randrange(800 if k % 60 == 0 else 20_000)}" for _ in range(150)) for k in range(1260)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # Labels for about half of each kind: the verdict must hold for the others too.
+    spark.createDataFrame([(k, int(k % 60 > 0), 0) for k in range(1260) if k % 120 < 60], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {x.doc_id for x in quality_rules.op4_quality_rules(spark, str(tmp_path)).filter("kept").collect()}
+    assert kept == {k for k in range(1260) if k % 60}
+
+
 # 5
 
 

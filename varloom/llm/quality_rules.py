@@ -1,42 +1,47 @@
 """Quality rules: text measures, and a hashed n-gram log-likelihood ratio with a threshold.
 
-Words and word pairs are hashed to ``BUCKETS`` places each. Two multinomials over the places,
-of the trusted target (documents labelled good) and of the raw corpus, give every place a
-weight log(p_target / p_raw); a document's score is the mean weight of its n-grams, and it is
-kept if it passes the base rules and the score is at least ``threshold``. The same text always
-gets the same verdict. Only the weights (a fixed number) reach the driver.
+Words and word pairs are hashed to ``buckets`` places each, a power of two that grows with the
+corpus from ``BUCKETS`` to ``MOST_BUCKETS``. Two multinomials over the places, of the trusted
+target (documents labelled good) and of the raw corpus, give every place a weight
+log(p_target / p_raw); a document's score is the mean weight of its n-grams, and it is kept if
+it passes the base rules and the score is at least ``threshold``. Texts are in two folds by
+hash, and each fold is scored by the other's target, so that documents with and without a label
+score alike and the cut that parts labelled good from labelled bad ones best is ``threshold``
+for all. The same text always gets the same verdict. Only the weights, 4 * ``MOST_BUCKETS``
+doubles (8 MB) at most, reach the driver and each task.
 
 Everything is a DataFrame or SQL function. Repeated three-word windows are found inside a row
 by sorting window hashes, so no window leaves its document.
 
 Nulls and odd rows: a null or empty text has no words, so it fails the base rules; labels
-with a null id or quality are no target; with an empty target all weights are 0; repeated
-rows are judged alike; an empty table gives no rows; other columns are ignored.
+with a null id or quality are no target; with an empty target all weights are 0; where labels
+or scores do not tell good from bad, ``threshold`` is ``THRESHOLD``; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_RUN, documents, text_or_empty, words
+from .common import SEPARATOR_RUN, documents, materialize, text_bytes, text_or_empty, words
 
-BUCKETS = 4_096
+#: Places each of words and of pairs: one for so many bytes of text, between the two bounds.
+BUCKETS, MOST_BUCKETS, BYTES_A_PLACE = 65_536, 262_144, 128
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: A document of trusted text scores about 0; junk whose frequent n-grams the target lacks, well below.
+#: Only for a corpus without labels of both kinds: a document of trusted text scores about 0.
 THRESHOLD = -0.12
 SMOOTHING = 1.0
+CUTS = 10_000
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, hashes (of the words, in order), n_words and the four measures of every row."""
+    """doc_id, fold, hashes (of the words, in order), n_words and the four measures of every row."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").cast("string").alias("text"))
     rows = rows.withColumn("w", words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
     return rows.select(
         "doc_id",
+        F.expr(_FOLD).alias("fold"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", SEPARATOR_RUN, "")).cast("long").alias("word_chars"),
@@ -71,46 +76,116 @@ def measures(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
-def _places() -> tuple[str, str]:
+def buckets_for(n_bytes: int) -> int:
+    """Places each of words and of pairs for a corpus of so many bytes of text."""
+    return max(BUCKETS, min(MOST_BUCKETS, 1 << max(0, n_bytes // BYTES_A_PLACE - 1).bit_length()))
+
+
+#: Half of all texts, by hash: a text is never judged by a target that holds it.
+_FOLD = "cast(pmod(hash(text), 2) as int)"
+
+
+def _places(buckets: int) -> tuple[str, str]:
     """SQL for the place of word i of ``hashes``, and of the pair that ends at i."""
-    return f"cast(pmod(hashes[i], {BUCKETS}) as int)", f"{BUCKETS} + cast(pmod(xxhash64(hashes[i - 1], hashes[i]), {BUCKETS}) as int)"
+    return f"cast(pmod(hashes[i], {buckets}) as int)", f"{buckets} + cast(pmod(xxhash64(hashes[i - 1], hashes[i]), {buckets}) as int)"
 
 
-def place_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def place_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """place, raw, target: n-grams of all documents, and of the trusted ones among them."""
-    word, pair = _places()
+    word, pair = _places(buckets)
     trusted = labels.filter("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("trusted_id")).distinct()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").cast("string").alias("text"))
     # The labels grow with the corpus: one way of joining at every size, by the key.
     rows = rows.join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
-    hashed = rows.select(F.col("trusted_id").isNotNull().cast("int").alias("good"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
+    good = [F.expr(f"cast(trusted_id is not null and {_FOLD} = {k} as int)").alias(f"good{k}") for k in (0, 1)]
+    hashed = rows.select(*good, F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
     places = F.expr(f"flatten(transform(sequence(0, size(hashes) - 1), i -> if(i > 0, array({word}, {pair}), array({word}))))")
-    return hashed.filter("size(hashes) > 0").select("good", F.explode(places).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
+    each = hashed.filter("size(hashes) > 0").select("good0", "good1", F.explode(places).alias("place"))
+    return each.groupBy("place").agg(F.count(F.lit(1)).alias("raw"), F.sum("good0").alias("target0"), F.sum("good1").alias("target1"))
+
 
+def place_weights(counts: DataFrame, buckets: int = BUCKETS) -> list[float]:
+    """log(p_target / p_raw) of every place; words and pairs are a multinomial each.
 
-def place_weights(counts: DataFrame) -> list[float]:
-    """log(p_target / p_raw) of every place; words and pairs are a multinomial each."""
-    raw, target = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
-    for r in counts.collect():  # 2 * BUCKETS rows at most
-        raw[r.place], target[r.place] = r.raw, r.target
+    First the weights for documents of fold 0, whose target is the trusted ones of fold 1, then
+    the reverse; where a fold has no trusted documents, both use all of them.
+    """
+    import numpy as np
+
+    table = counts.select("place", "raw", "target0", "target1").toArrow()  # 2 * buckets rows at most
+    at = table["place"].to_numpy()
+    raw, *targets = (np.zeros(2 * buckets) for _ in range(3))
+    for x, name in zip((raw, *targets), ("raw", "target0", "target1")):
+        x[at] = table[name].to_numpy()
+    if not all(x.any() for x in targets):
+        targets = [targets[0] + targets[1]] * 2
     out = []
-    for at in (0, BUCKETS):
-        n, t = (sum(x[at : at + BUCKETS]) + SMOOTHING * BUCKETS for x in (raw, target))
-        trusted = sum(target[at : at + BUCKETS]) > 0
-        out += [math.log((target[k] + SMOOTHING) / t) - math.log((raw[k] + SMOOTHING) / n) if trusted else 0.0 for k in range(at, at + BUCKETS)]
-    return out
+    for target in reversed(targets):
+        for t, r in zip(target.reshape(2, -1), raw.reshape(2, -1)):
+            # The raw counts on the target's scale, so that the smoothing is the same for both.
+            out.append(np.log((t + SMOOTHING) / (r * (t.sum() / r.sum()) + SMOOTHING)) if t.any() else np.zeros(buckets))
+    return np.concatenate(out).tolist()
+
+
+def scored(docs: DataFrame, weights: list[float]) -> DataFrame:
+    """All measures and score (mean weight of the n-grams, 0 without words), row by row."""
+    buckets = len(weights) // 4
+    word, pair = _places(buckets)
+    # Of a file, read once and sent with the tasks: as an expression so many literals take long to plan.
+    table = materialize(docs.sparkSession.createDataFrame([(weights[: 2 * buckets], weights[2 * buckets :])], "first array<double>, second array<double>"), "weights")
+    mine = F.when(F.col("fold") == 0, table.select("first").scalar()).otherwise(table.select("second").scalar())
+    total = f"aggregate(sequence(0, size(hashes) - 1), 0D, (a, i) -> a + t[{word}] + if(i > 0, t[{pair}], 0D))"
+    rows = measures(docs).withColumn("__t", F.array(mine))
+    return rows.withColumn("score", F.expr(f"if(size(hashes) = 0, 0D, transform(__t, t -> {total})[0] / (2 * size(hashes) - 1))")).drop("hashes", "fold", "__t")
+
+
+def separating(scores: DataFrame, labels: DataFrame) -> float:
+    """The threshold that gives labelled documents the most right verdicts, good and bad ones weighing the same in all.
+
+    It is the middle of the lowest gap between scores where that holds, to 1 / ``CUTS`` of their range. Only documents that pass the base rules count, as the others are dropped anyway.
+    """
+    marked = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(labels["doc_id"].cast("long").alias("marked_id")).agg(F.max("quality").alias("good"))
+    rows = scores.filter("not base_failed").select("doc_id", "score").join(marked.hint("merge"), F.col("doc_id") == F.col("marked_id"))
+    low, high = rows.agg(F.min("score"), F.max("score")).first()
+    if low is None or low == high:
+        return THRESHOLD
+    width = (high - low) / CUTS
+    by = {g: [0] * (CUTS + 1) for g in (0, 1)}
+    for r in rows.groupBy("good", F.floor((F.col("score") - low) / width).cast("int").alias("cut")).count().collect():  # 2 * (CUTS + 1) rows at most
+        by[r.good][min(r.cut, CUTS)] += r["count"]
+    bad, good = sum(by[0]), sum(by[1])
+    if not bad or not good:
+        return THRESHOLD
+    # Right verdicts, times bad * good, if what lies below a cut is dropped.
+    right, gain = [], good * bad
+    for b, g in zip(by[0], by[1]):
+        right.append(gain)
+        gain += b * good - g * bad
+    best = max(right)
+    if best <= good * bad:
+        return THRESHOLD
+    first = right.index(best)
+    last = first
+    while last < CUTS and right[last + 1] == best:
+        last += 1
+    return round(low + (first + last) / 2 * width, 6)
+
+
+def decide(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def judge(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """All measures, score (mean weight of the n-grams, 0 without words) and kept, row by row."""
-    word, pair = _places()
-    table = "array(" + ", ".join(f"{float(x)!r}D" for x in weights) + ")"  # folded to one literal
-    total = f"aggregate(sequence(0, size(hashes) - 1), 0D, (a, i) -> a + table[{word}] + if(i > 0, table[{pair}], 0D))".replace("table", table)
-    score = F.expr(f"if(size(hashes) = 0, 0D, {total} / (2 * size(hashes) - 1))")
-    rows = measures(docs).withColumn("score", score).drop("hashes")
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    """``scored`` with kept."""
+    return decide(scored(docs, weights), threshold)
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row's verdict, with weights and threshold from the labelled documents among ``docs``."""
+    buckets = buckets_for(text_bytes(docs))
+    scores = materialize(scored(docs, place_weights(place_counts(docs, labels, buckets), buckets)), "scores")
+    return decide(scores, separating(scores, labels))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return judge(docs, place_weights(place_counts(docs, documents(spark, sf_dir, "labels"))))
+    return judged(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
