@@ -266,6 +266,20 @@ def test_contexts_discover_and_mask(spark):
     assert masked[9][0] == "you contact my friend mail <email>, ok" and masked[11] == (texts[11], len(texts[11])) and masked[9][1] == len(masked[9][0])
 
 
+def test_discovered_instances_everywhere(spark):
+    """Where no word stands before them, found by a third round, and behind long words."""
+    texts = [f"{a} beta s{i}@mail.example.com" for a in ("first", "second", "third") for i in range(20)]
+    for k, a in enumerate(("first", "second", "third")):
+        texts += [f"{a} beta r{r}n{i}@local" for r in (k, k + 1) if r for i in range(5)]
+    long = "x" * 70
+    texts += [f"{long} {long} u{i}@mail.example.com" for i in range(5)] + [f"{'y' * 70} {long} v{i} end" for i in range(20)]
+    ends = [f"{long} {long} w@local", "r1n0@local wrote", "id 12 r2n0@local", "r3n0@local", "see r3n4@local"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + ends)], "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert [masked[len(texts) + k] for k in range(len(ends))] == [f"{long} {long} <email>", "<email> wrote", "id 12 <email>", "<email>", "see <email>"]
+    assert all(masked[k] == t for k, t in enumerate(texts) if " v" in t)
+
+
 # 7 and 8
 
 

@@ -6,7 +6,8 @@ looks like an identifier is an occurrence of an instance in a lexical pattern, t
 before it. Over the graph of patterns and instances a pattern's score for a kind is the share
 of its distinct instances that are of that kind; patterns with enough instances and a high
 score give their kind to the unseen instances of a fitting shape, which count as known in the
-next round. All occurrences of discovered instances become spans beside the base ones.
+next round; rounds end when one finds nothing. A token without words since the last such token
+is an occurrence in no pattern. All occurrences of discovered instances become spans beside the base ones.
 
 Everything is a DataFrame or SQL function. Matching stays inside a row; the graph holds only
 identifier-like tokens, aggregated to distinct pairs before any join.
@@ -41,9 +42,10 @@ _SPACES = " \\t\\n\\x0B\\f\\r"
 _TOKEN = f"(?<![^{_SPACES}])[^{_SPACES}]*[0-9@][^{_SPACES}]*"
 #: What an unseen instance must look like to become of a kind.
 SHAPES = {"email": "^[^@]+@[^@]+$", "ip": "^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){2,7}$", "card": "^[0-9]([ -]?[0-9]){7,18}$", "phone": "^[+(]?[0-9][0-9().-]{5,18}$"}
-MIN_INSTANCES, MIN_SCORE, ROUNDS = 5, 0.8, 2
-#: Words before a token are looked for in so many characters.
+MIN_INSTANCES, MIN_SCORE = 5, 0.8
+#: Words before a token are looked for in so many characters, and in all where those do not hold two whole ones.
 CONTEXT = 64
+_TWO_WORDS = f"[{_SPACES}][^{_SPACES}]+[{_SPACES}]+[^{_SPACES}]+[{_SPACES}]*$"
 
 
 def _quoted(pattern: str) -> str:
@@ -51,14 +53,15 @@ def _quoted(pattern: str) -> str:
 
 
 def matches(text: str, pattern: str) -> Column:
-    """Array of (start, end, value, before) of a pattern's matches; before: the text since the last one.
+    """Array of (start, end, value, before) of a pattern's matches; before: the end of the text since the last one.
 
     Offsets are code points, end exclusive: lengths of matches and of what lies between.
     """
     p = _quoted(pattern)
     parts = f"named_struct('gaps', split({text}, {p}, -1), 'hits', regexp_extract_all({text}, {p}, 0))"
     start = "a.at + length(s.gaps[i])"
-    step = f"named_struct('at', {start} + length(s.hits[i]), 'out', concat(a.out, array(named_struct('start', {start}, 'end', {start} + length(s.hits[i]), 'value', s.hits[i], 'before', right(s.gaps[i], {CONTEXT})))))"
+    before = f"if(right(s.gaps[i], {CONTEXT}) rlike {_quoted(_TWO_WORDS)}, right(s.gaps[i], {CONTEXT}), s.gaps[i])"
+    step = f"named_struct('at', {start} + length(s.hits[i]), 'out', concat(a.out, array(named_struct('start', {start}, 'end', {start} + length(s.hits[i]), 'value', s.hits[i], 'before', {before}))))"
     none = "cast(array() as array<struct<start:int,end:int,value:string,before:string>>)"
     fold = f"aggregate(sequence(0, size(s.hits) - 1), named_struct('at', 0, 'out', {none}), (a, i) -> {step}).out"
     return F.expr(f"transform(array({parts}), s -> if(size(s.hits) = 0, {none}, {fold}))[0]")
@@ -109,17 +112,17 @@ def occurrences(spans: DataFrame) -> DataFrame:
     context = words(ascii_lower(F.col("t.before")))
     pattern = F.array_join(F.slice(F.reverse(context), 1, 2), " ")
     start = F.col("t.start") + F.col("lead")
-    return rows.select("row_key", start.alias("start"), (start + F.length("bare")).alias("end"), pattern.alias("pattern"), F.coalesce("seed.value", "bare").alias("instance"), "seed.kind").filter("pattern <> '' and instance <> ''")
+    return rows.select("row_key", start.alias("start"), (start + F.length("bare")).alias("end"), pattern.alias("pattern"), F.coalesce("seed.value", "bare").alias("instance"), "seed.kind").filter("instance <> ''")
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind) of unseen instances, from the graph of ``found`` occurrences."""
-    edges = materialize(found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    known = edges.filter("kind is not null").groupBy("instance").agg(F.max("kind").alias("known"))
+def discover(found: DataFrame) -> DataFrame:
+    """(instance, kind) of unseen instances, from the graph of ``found`` occurrences, round by round to the last."""
+    nodes = materialize(found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "nodes")
+    edges = nodes.filter("pattern <> ''")
+    seeds = materialize(nodes.filter("kind is not null").groupBy("instance").agg(F.max("kind").alias("known")), "known")
     shape = F.expr("case " + " ".join(f"when best = '{k}' then instance rlike {_quoted(p)}" for k, p in SHAPES.items()) + " end")
-    new = None
-    for _ in range(rounds):
-        known = materialize(known, "known")
+    known = seeds
+    while True:
         marked = materialize(edges.join(known, "instance", "left").select("pattern", "instance", F.coalesce("known", "kind").alias("kind")), "marked")
         of = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
         counts = marked.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"), *of)
@@ -128,9 +131,10 @@ def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         score = most / F.col("all")
         good = materialize(counts.filter((most >= MIN_INSTANCES) & (score >= MIN_SCORE)).select("pattern", best.alias("best"), score.alias("score")), "patterns")
         offered = marked.filter("kind is null").join(good, "pattern").filter(shape)
-        new = offered.groupBy("instance").agg(F.max_by("best", F.struct("score", "best")).alias("known"))
-        known = known.unionByName(new).groupBy("instance").agg(F.max("known").alias("known"))
-    seeds = edges.filter("kind is not null").select("instance").distinct()
+        new = materialize(offered.groupBy("instance").agg(F.max_by("best", F.struct("score", "best")).alias("known")), "new")
+        if new.isEmpty():  # each round but the last makes unseen instances known, so there is a last
+            break
+        known = materialize(known.unionByName(new), "known")
     return materialize(known.join(seeds, "instance", "left_anti").select("instance", F.col("known").alias("found_kind")), "discovered")
 
 
