@@ -200,6 +200,25 @@ def test_two_alleles():
     assert cluster.match_profile(reads["a0"], reads["b0"]) in ([0], [0, 0]) and cluster.match_ratio(reads["a0"], reads["a1"]) == 1
 
 
+def test_all_reads_of_a_cluster_vote(spark):
+    import random
+
+    r = random.Random(7)
+    ref, extra = "CG" + "".join(r.choice("ACGT") for _ in range(150)), "".join(r.choice("ACGT") for _ in range(60))
+    whole = ref[:80] + extra + ref[80:]
+    # The first 15 in alphabetical order lack what most have.
+    rows = [(1, 0, "c", 1, ref, f"q{i}", "A" + ref if i < 15 else whole) for i in range(35)]
+    got = cluster.consensus_alleles(spark.createDataFrame(rows, "region_id long, cluster_id int, chrom string, start long, ref_seq string, qname string, seq string"), 50).collect()
+    assert [(x.svtype, x.sv_len) for x in got] == [("INS", 60)]
+    long = "".join(r.choice("ACGT") for _ in range(2_100))
+    for text, n in ((extra, 15), (long, 1)):
+        wrong = text[:30] + {"A": "C", "C": "G", "G": "T", "T": "A"}[text[30]] + text[31:]
+        seqs = [wrong] * n + [text] * (n + 3)
+        sig = spark.createDataFrame([(1, f"q{i:02}", "c", 100, "I", len(x), x) for i, x in enumerate(seqs)], "region_id long, qname string, chrom string, pos long, op string, len int, seq string")
+        members = spark.createDataFrame([(1, f"q{i:02}", 0) for i in range(len(seqs))], "region_id long, qname string, cluster_id int")
+        assert [x.ins_seq for x in cluster.alleles(sig, members, 3).collect()] == [text]
+
+
 def test_phase_links(spark):
     t = "variant_id long, chrom string, start long, reads array<string>, others array<string>"
     rows = [(1, "c", 10, ["a", "b", "x"], ["d", "e"]), (2, "c", 20, ["a", "b", "y"], ["f"]), (3, "c", 30, ["d", "e", "f"], ["a", "b", "y"])]

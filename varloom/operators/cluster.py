@@ -226,7 +226,7 @@ def alleles(signatures: DataFrame, clusters: DataFrame, minimum: int, how: Match
             size = max(sorted(lengths), key=lengths.__getitem__)
             seqs = [s.seq for s in keep if s.seq]
             near = [x for x in seqs if len(x) == size] or seqs
-            text = "" if keep[0].op == "D" or not near else (consensus(near[:15]) if size <= 2_000 else near[0])
+            text = "" if keep[0].op == "D" or not near else consensus(near)
             start = int(median([s.pos for s in keep]))
             rows.append((pdf["region_id"].iloc[0], int(pdf["cluster_id"].iloc[0]), pdf["chrom"].iloc[0], start, start if keep[0].op == "I" else start + size - 1, "INS" if keep[0].op == "I" else "DEL", len(text) or size if keep[0].op == "I" else -size, text or None, len(names), names))
         return pd.DataFrame(rows, columns=["region_id", "cluster_id", "chrom", "start", "end", "svtype", "sv_len", "ins_seq", "support", "reads"])
@@ -244,7 +244,7 @@ def consensus_alleles(sequences: DataFrame, min_size: int) -> DataFrame:
     from ..functions.alignment import align_affine
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        text, ref, at = consensus(sorted(pdf["seq"])[:15]), pdf["ref_seq"].iloc[0], int(pdf["start"].iloc[0])
+        text, ref, at = consensus(sorted(pdf["seq"])), pdf["ref_seq"].iloc[0], int(pdf["start"].iloc[0])
         rows, i, j = [], 0, 0
         for n, op in align_affine(text, ref).runs:
             if op in "ID" and n >= min_size:
