@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,7 @@ def text_or_empty(column: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-separators of ``text`` (JVM only)."""
-    trimmed = F.btrim(text, F.lit(SEPARATORS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SEPARATOR_RUN))
+    return F.array_remove(F.split(text, SEPARATOR_RUN), "")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -40,14 +41,19 @@ def id_crc32(column: str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor sees: the cluster's ``spark.checkpoint.dir``, else one of our own.
 
-    Only where the setting is missing (single-machine tests) a local default is used.
+    A local master without the setting (tests) uses a folder of this machine; a cluster without
+    it is an error, as nothing else is known to be seen by all executors.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
         return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+
+
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/varloom/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
@@ -57,11 +63,35 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     and makes sure that branches reusing ``df`` see the same rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/varloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{tag}"
+    path = f"{application_dir(spark)}/{_SCOPE[-1]}{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Sub-folders that tables written by now belong to, the innermost last.
+_SCOPE = [""]
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that are written inside lie in a folder of their own, deleted at the end.
+
+    For work whose result has been written elsewhere by then.
+    """
+    name = f"{_SCOPE[-1]}{uuid.uuid4().hex}/"
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+        _delete(spark, f"{application_dir(spark)}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size of ``df``, from file sizes and without a scan; else the texts' bytes."""
     try:
@@ -73,8 +103,7 @@ def planned_bytes(df: DataFrame) -> int:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's shared tables; results that still read them must be written by then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/varloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, application_dir(spark))
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -82,6 +111,18 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
 
 
+def running(array: str, op: Callable[[str, str], str] = "({} + {})".format, block: int = 256) -> str:
+    """SQL for the running totals of an int array: 0, then the total of the first, first two, ...
+
+    Blocks are folded one by one and then shifted by the blocks before them, so the time is
+    linear in the array, which a single fold that appends to its result would not be.
+    """
+    inner = f"transform(sequence(0, cast(greatest(size(rv) - 1, 0) div {block} as int)), rc -> aggregate(slice(rv, rc * {block} + 1, {block}), array(0), (ra, rx) -> concat(ra, array({op('element_at(ra, -1)', 'rx')}))))"
+    before = f"aggregate(ri, array(0), (ra, rr) -> concat(ra, array({op('element_at(ra, -1)', 'element_at(rr, -1)')})))"
+    shifted = f"concat(array(0), flatten(transform(ri, (rr, rk) -> transform(slice(rr, 2, size(rr)), ry -> {op('ry', 'rs[rk]')}))))"
+    return f"transform(array({array}), rv -> transform(array({inner}), ri -> transform(array({before}), rs -> {shifted})[0])[0])[0]"
+
+
 def trim() -> None:
     """Give freed memory back to the system, where its C library can: workers live on between tasks."""
     import ctypes
