@@ -1,7 +1,7 @@
 """Tokenisation with a ready-made vocabulary, one library call per distinct unit of text.
 
 Both vocabularies split text before merging, and no piece of such a split crosses the edges
-used here: before a space, around a line end, between a letter and a final mark. So a text's
+used here: before a space, around a line end, between a plain letter and a final mark. So a text's
 ids are the ids of its units in order, and each distinct unit needs to go through the library
 once per worker. Documents where that would not hold (two white-space characters side by
 side, for a vocabulary that keeps spaces) go through the library whole.
@@ -25,7 +25,10 @@ _AMBIGUOUS = f"{_SPACE}{_SPACE}|{_EDGE}"
 #: themselves, the others for code points from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_MARK = r"(\p{L})([.,])([ \n])"
+#: A final mark is cut off only behind letters whose normal form, in every case and Unicode
+#: version, ends in a letter: Latin, Greek and Cyrillic ones without the dotted capital I, which
+#: one vocabulary turns into a letter and a combining dot that stays with the mark.
+_MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}\x{391}-\x{3A1}\x{3A3}-\x{3C9}\x{410}-\x{44F}])([.,])([ \n])"
 
 
 class Encoder:
