@@ -419,13 +419,11 @@ def test_near_duplicates(odd, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_groups_of_near_copies(spark, monkeypatch, small):
-    """Chains and clouds of copies around the threshold, with and without the chunked comparison."""
-    import random
-
-    monkeypatch.setattr(near_dedup, "SMALL_GROUP", small)
-    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+@pytest.mark.parametrize("chunk", [256, 8])
+def test_groups_of_near_copies(spark, monkeypatch, chunk):
+    """Chains and clouds of copies around the threshold, in one chunk and in several."""
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 100 * chunk)
     r = random.Random(7)
     texts = []
     for g in range(3):
@@ -440,6 +438,15 @@ def test_groups_of_near_copies(spark, monkeypatch, small):
     assert got == sorted((k, c) for k, _, c in brute_components(rows))
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """An id with several texts links what each of them links with; equal rows stay equal."""
+    r = random.Random(3)
+    a, b, c = (" ".join(f"w{r.randint(0, 9000)}" for _ in range(60)) for _ in range(3))
+    rows = [(9, a), (9, b), (9, b), (4, a + " x"), (5, b + " y"), (6, c), (None, a), (7, None), (7, "")]
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute_components(rows)) and got[(5, 57, 4)] == 1
+
+
 def test_estimates_are_corrected():
     rng = np.random.default_rng(4)
     for share in (0.3, 0.6, 0.9):

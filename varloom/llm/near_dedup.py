@@ -12,12 +12,17 @@ from the start. Then, twice, every member of a band's group meets one hub of its
 member with the most company over all bands, then one by hash); pairs pass a comparison of
 set sizes (exact) and of collision-corrected sketch estimates (four standard deviations wide),
 and are confirmed on full sets. Groups whose members are by then in one component are
-finished. In the others, pairs that are still apart, share two bands and look alike are
-compared, large groups in chunks inside a task. So no link between components is left out, while a group of near copies costs a multiple
-of its size.
-
-Components come from label propagation with pointer jumping over confirmed links; nothing
-but counts reaches the driver. All tables that are used again lie in the shared folder.
+finished. The members of the others are banded anew, in ``FINE_TABLES`` tables of eight buckets,
+whose groups hold only documents that are much more alike (at similarity 0.75 two share none
+with a probability of 3e-6), and meet hubs of these groups. What is then still apart is compared
+inside its fine groups: members outside a group's largest component with all its members, in
+chunks of both, so a group of m members with s outside costs m + s rows as long as either fits
+a chunk, and 2 m s / ``CHUNK`` beyond. So no link between components is left out, while a group of
+near copies costs a multiple of its size.
+
+Components come from label propagation with pointer jumping over confirmed links; later links
+are contracted to the components that they join first, so only those are worked on again.
+Nothing but counts reaches the driver. All tables that are used again lie in the shared folder.
 
 Nulls and odd rows: a null or empty text, or one without words, has the empty set and links
 with nothing; fewer than five words are one shingle; a null doc_id links with nothing, has a
@@ -28,7 +33,6 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +49,16 @@ TABLES, BUCKETS, MANTISSA = 40, 4, 10
 MARGIN = 0.14
 #: Below so many shingles an estimate says little; such pairs are all confirmed on sets.
 FEW = 12
-#: Groups up to this size are joined with themselves at the end, larger ones compared in chunks.
-SMALL_GROUP, CHUNK = 64, 512
+#: Tables and buckets of the second banding.
+FINE_TABLES, FINE_BUCKETS = 120, 8
+#: Members of either side that a task compares at a time, and shingles that it confirms at a time.
+CHUNK, CHUNK_SHINGLES = 256, 1_000_000
 EMPTY = np.uint16(0xFFFF)
 #: Set apart the bands of different tables, so that a band says which table it is of.
 _NAME = np.random.default_rng(20240608).integers(-(1 << 63), 1 << 63, TABLES, np.int64)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_TABLE = (np.random.default_rng(20240607).integers(0, 1 << 63, TABLES, np.uint64) << np.uint64(1)) | np.uint64(1)
+_TABLE, _FINE_TABLE = ((np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) << np.uint64(1)) | np.uint64(1) for seed, n in ((20240607, TABLES), (20240609, FINE_TABLES)))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -72,22 +78,36 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(x)
 
 
-def registers(x: np.ndarray) -> np.ndarray:
-    """Bands of a set: for each table one integer of four 16-bit registers."""
-    best = np.full((BUCKETS, TABLES), _MAX)
+def smallest(x: np.ndarray, table: np.ndarray, buckets: int) -> np.ndarray:
+    """Registers (tables x buckets) of a set: leading zeros and mantissa of each smallest hash."""
+    bits = np.uint64(buckets.bit_length() - 1)
+    best = np.full((buckets, len(table)), _MAX)
     with np.errstate(over="ignore"):
         for at in range(0, len(x), 8192):
-            h = x[at : at + 8192, None] * _TABLE
+            h = x[at : at + 8192, None] * table
             h ^= h >> np.uint64(32)
             h *= _Q
-            bucket, value = h >> np.uint64(62), h << np.uint64(2)
-            for k in range(BUCKETS):
+            bucket, value = h >> (np.uint64(64) - bits), h << bits
+            for k in range(buckets):
                 np.minimum(best[k], np.where(bucket == k, value, _MAX).min(0), out=best[k])
     bits = best.astype(np.float64).view(np.uint64)
     zeros = np.uint64(1023 + 63) - (bits >> np.uint64(52))
     register = (zeros << np.uint64(MANTISSA)) | ((bits >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1))
-    packed = np.where(best == _MAX, np.uint64(EMPTY), register).astype(np.uint16).T.copy()
-    return packed.view(np.int64)[:, 0] ^ _NAME
+    return np.where(best == _MAX, np.uint64(EMPTY), register).astype(np.uint16).T.copy()
+
+
+def registers(x: np.ndarray) -> np.ndarray:
+    """Bands of a set: for each table one integer of four 16-bit registers."""
+    return smallest(x, _TABLE, BUCKETS).view(np.int64)[:, 0] ^ _NAME
+
+
+def fine_bands(x: np.ndarray) -> np.ndarray:
+    """Bands of the second banding: one hash of each table's eight registers and the table's number."""
+    two = smallest(x, _FINE_TABLE, FINE_BUCKETS).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (two[:, 0] * _P ^ two[:, 1] >> np.uint64(7)) * _Q + two[:, 1] * _P + np.arange(FINE_TABLES, dtype=np.uint64)
+        h = (h ^ h >> np.uint64(29)) * _P
+    return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -105,7 +125,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return (agree - chance) / (1 - chance)
 
 
-_SKETCH = "doc_id long, n_shingles long, content binary, bands array<bigint>"
+_SKETCH = "doc_id long, h long, n_shingles long, content binary, bands array<bigint>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +139,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(registers(x) if len(x) else np.zeros(0, np.int64))
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(content, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n_shingles", "content", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(size, pa.int64()), pa.array(content, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "h", "n_shingles", "content", "bands"])
 
 
 def _likely(threshold: int):
@@ -130,30 +150,28 @@ def _likely(threshold: int):
             a, b = ((batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, TABLES) ^ _NAME).view(np.uint16) for c in ("bands_a", "bands_b"))
             n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             keep = (np.minimum(n, m) < FEW) | (estimate(a, b, n, m) >= threshold / 100 - MARGIN)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "n_a"]).filter(pa.array(keep))
 
     return run
 
 
-def _linked(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()  # rows come ordered by b
+def _both(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both) > 0
 
-        def of(key: int, text: str) -> np.ndarray:
-            if key not in recent:
-                recent[key] = shingles(text)
-                if len(recent) > 16:
-                    recent.popitem(last=False)
-            return recent[key]
 
-        for batch in batches:
-            keep = []
-            for a, s, b, t in zip(*(batch.column(c) for c in ("a", "text_a", "b", "text_b"))):
-                y = of(b.as_py(), t.as_py())
-                x = shingles(s.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both) > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _linked(threshold: int):
+    """Links among pairs of one hub: its text comes once, those of its pairs once each."""
+
+    def run(left, right):
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            hub, y = right.column("hub_of")[0].as_py(), shingles(right.column("hub_text")[0].as_py())
+            for rep, text in zip(left.column("rep").to_pylist(), left.column("text")):
+                if _both(shingles(text.as_py()), y, threshold):
+                    a.append(min(rep, hub))
+                    b.append(max(rep, hub))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -162,30 +180,30 @@ def _least_agreeing(threshold: int) -> int:
     return math.ceil(TABLES * BUCKETS * (threshold / 100 - MARGIN))
 
 
+_PART = "key long, l long, r long, rep long, partners array<bigint>"
+
+
 def _partners(threshold: int):
-    """Of two chunks of one group: each member with its likely partners of other components."""
+    """Of two chunks of one group: each member on the left with its likely partners on the right."""
 
     def run(key, table):
-        part = key[1].as_py()
-        one, two = divmod(part, 65_536)
-        chunk, rep, n, component = (table.column(c).to_numpy() for c in ("chunk", "rep", "n", "component"))
+        side, rep, n, component, main = (table.column(c).to_numpy() for c in ("side", "rep", "n", "component", "main"))
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), TABLES)
         lanes = (bands ^ _NAME).view(np.uint16).reshape(len(rep), -1)
-        right = np.flatnonzero(chunk == two)
+        left = np.flatnonzero(side == 0)
         found: dict[int, list[int]] = {}
-        for i in np.flatnonzero(chunk == one).tolist():
-            j = right[(component[right] != component[i]) & ((rep[right] > rep[i]) | (one != two))]
+        for i in np.flatnonzero(side == 1).tolist():
+            # Pairs of two members outside the largest component would be met from both sides.
+            j = left[(component[left] != component[i]) & ((component[left] == main[left]) | (rep[left] < rep[i]))]
             j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * threshold]
-            same = bands[j] == bands[i]
-            smallest = np.where(same, bands[j], np.iinfo(np.int64).max).min(1) if len(j) else np.zeros(0, np.int64)
-            j = j[(same.sum(1) >= 2) & (smallest == key[0].as_py())]
             agree = (lanes[j] == lanes[i]).sum(1)
             j = j[(np.minimum(n[j], n[i]) < FEW) | (agree >= _least_agreeing(threshold))]
             if len(j):
-                found[i] = rep[j].tolist()
+                found.setdefault(int(rep[i]), []).extend(rep[j].tolist())
         wanted = {r for rows in found.values() for r in rows}
-        rows = [(r, found.get(i, [])) for i, r in enumerate(rep.tolist()) if i in found or r in wanted]
-        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([r for r, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.list_(pa.int64()))], names=["key", "part", "rep", "partners"])
+        rows = [(r, found.get(r, [])) for r in sorted({*found, *wanted})]
+        k, l, r = (x.as_py() for x in key)
+        return pa.table([pa.array([k] * len(rows), pa.int64()), pa.array([l] * len(rows), pa.int64()), pa.array([r] * len(rows), pa.int64()), pa.array([x for x, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.list_(pa.int64()))], names=["key", "l", "r", "rep", "partners"])
 
     return run
 
@@ -199,25 +217,26 @@ def _confirmed(threshold: int):
         for rep, named, text in zip(table.column("rep").to_pylist(), table.column("partners").to_pylist(), table.column("text")):
             sets[rep] = shingles(text.as_py())
             partners.setdefault(rep, []).extend(named)
-        links = []
-        for rep, named in partners.items():
-            for other in set(named):
-                x, y = sets[rep], sets[other]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= threshold * (len(x) + len(y) - both) > 0:
-                    links.append((min(rep, other), max(rep, other)))
+        links = [(min(rep, other), max(rep, other)) for rep, named in partners.items() for other in set(named) if _both(sets[rep], sets[other], threshold)]
         return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text", 4 << 20):
+            bands = [fine_bands(shingles(t.as_py())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(bands, pa.list_(pa.int64()))], names=["rep", "fine"])
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest id that links reach from each linked node."""
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     total = lambda df: df.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]  # noqa: E731  labels only fall
     before = total(labels)
-    for _ in range(rounds):
+    while True:  # labels fall in every round but the last
         offered = edges.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component")
         lowered = materialize(offered.unionByName(labels).groupBy("node").agg(F.min("component").alias("component")), "lowered")
         further = lowered.select(F.col("node").alias("component"), F.col("component").alias("next"))
@@ -226,7 +245,6 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if now == before:
             return labels
         before = now
-    raise RuntimeError("components did not settle")
 
 
 class _Finder:
@@ -234,24 +252,36 @@ class _Finder:
 
     def __init__(self, reps: DataFrame, texts: DataFrame, groups: DataFrame, threshold: int):
         self.reps, self.texts, self.groups, self.threshold = reps, texts, groups, threshold
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Add the links among ``pairs`` (a, b, n_a, n_b) and renew the components."""
-        near = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.threshold).select("a", "b").distinct()
+        """Add the links among ``pairs`` (rep, hub, n, n_hub) and renew the components."""
+        near = pairs.filter(F.least("n", "n_hub") * 100 >= F.greatest("n", "n_hub") * self.threshold).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
         bands = lambda s: self.reps.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"bands_{s}"))
-        likely = materialize(near.join(bands("a"), "a").join(bands("b"), "b").mapInArrow(_likely(self.threshold), "a long, b long").distinct(), "likely")
-        self.add(self.verified(likely))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        text = lambda s: self.texts.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}"))
-        return pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(_linked(self.threshold), "a long, b long")
+        likely = near.join(bands("a"), "a").join(bands("b"), "b").mapInArrow(_likely(self.threshold), "a long, b long, n_a long")
+        likely = materialize(likely.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.col("n_a").alias("n")), "likely")
+        # A hub's text goes to as many tasks as its pairs' shingles need.
+        parts = likely.groupBy("hub").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("parts"))
+        dealt = materialize(likely.join(parts, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), "parts").alias("part")), "dealt")
+        left = dealt.join(self.texts, "rep").select("hub", "part", "rep", "text")
+        hubs = dealt.select(F.col("hub").alias("hub_of"), F.col("part").alias("part_of")).distinct()
+        right = hubs.join(self.texts.select(F.col("rep").alias("hub_of"), F.col("text").alias("hub_text")), "hub_of")
+        self.add(left.groupBy("hub", "part").cogroup(right.groupBy("hub_of", "part_of")).applyInArrow(_linked(self.threshold), "a long, b long"))
 
     def add(self, found: DataFrame) -> None:
+        """Join the components that the links of ``found`` connect."""
         found = materialize(found.distinct(), "links")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links)
+        if self.labels is None:
+            self.labels = components(found)
+            return
+        at = lambda c: self.labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+        joined = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c"), F.coalesce("c_b", "b").alias("d"))
+        joined = materialize(joined, "contracted")
+        apart = joined.filter("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+        moved = components(apart).select(F.col("component").alias("next"), F.col("node").alias("component"))
+        ends = joined.select(F.col("a").alias("node"), F.col("c").alias("component")).unionByName(joined.select(F.col("b").alias("node"), F.col("d").alias("component")))
+        every = self.labels.unionByName(ends).distinct()
+        self.labels = materialize(every.join(moved, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
 
     def rows(self) -> DataFrame:
         """Group rows with the component that each member is in by now."""
@@ -274,66 +304,78 @@ class _Finder:
         hubs = materialize(self.unfinished(rows, [hub]), "hubs")
         met = rows.join(hubs, "key").filter((F.col("rep") != -F.col("h.order")) & (F.col("component") != F.col("h.component")))
         top = met.groupBy("rep").agg(F.max("h").alias("h"), F.first("n").alias("n"))
-        hub_id = -F.col("h.order")
-        self.confirm(top.select(F.least("rep", hub_id).alias("a"), F.greatest("rep", hub_id).alias("b"), F.col("n").alias("n_a"), F.col("h.n").alias("n_b")))
+        self.confirm(top.select("rep", (-F.col("h.order")).alias("hub"), "n", F.col("h.n").alias("n_hub")))
+
+    def band_finely(self) -> None:
+        """From now on the groups are those of the second banding, of members that are still apart."""
+        rows = materialize(self.rows(), "rows")
+        left = rows.join(self.unfinished(rows), "key", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("weight").alias("weight"))
+        left = materialize(left, "left")
+        fine = left.join(self.texts, "rep").select("rep", "text").mapInArrow(_fine, "rep long, fine array<bigint>")
+        members = materialize(fine.join(left, "rep").select("rep", "n", "weight", F.explode("fine").alias("key")), "members")
+        shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+        self.groups = materialize(members.join(shared, "key"), "groups")
 
     def rest(self) -> None:
-        """All pairs between components in the groups that are still unfinished.
+        """Members that are still outside their group's largest component, against the group.
 
-        Only pairs with two bands in common, and registers enough, are looked at (a pair at the
-        threshold has fewer with a probability of 4e-5), each in one group only: that of its
-        smallest common band. Small groups are joined with themselves. Larger ones are cut into
-        chunks, and two chunks at a time are compared inside a task, which names each member's
-        partners; only confirmed links leave it.
+        Either side is cut into chunks by hash; a task compares two chunks and names each
+        member's partners by their registers, and only links confirmed on full sets leave the next.
         """
         rows = materialize(self.rows(), "rows")
-        open_ = materialize(self.unfinished(rows, [F.count(F.lit(1)).alias("members")]), "open")
-        left = rows.join(open_, "key").join(self.reps.select("rep", "bands"), "rep")
-        left = materialize(left.select("key", "rep", "n", "component", "bands", "members"), "left", codec="none")
-        small = left.filter(F.col("members") <= SMALL_GROUP).drop("members")
-        a, b = (small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in small.columns if c != "key")) for s in "ab")
-        common = "array_sort(array_intersect(bands_a, bands_b))"
-        here = f"transform(array({common}), c -> size(c) >= 2 and c[0] = {{}})[0]"
-        lanes = " + ".join(f"if((shiftright(x, {16 * k}) & 65535) = (shiftright(y, {16 * k}) & 65535), 1, 0)" for k in range(BUCKETS))
-        agree = f"aggregate(zip_with(bands_a, bands_b, (x, y) -> {lanes}), 0, (t, k) -> t + k)"
-        likely = f"(least(n_a, n_b) < {FEW} or {agree} >= {_least_agreeing(self.threshold)})"
-        close = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {self.threshold}"
-        met = a.join(b.withColumnRenamed("key", "key_b"), F.expr(f"key = key_b and rep_a < rep_b and component_a != component_b and {close} and {here.format('key')} and {likely}"))
-        pairs = materialize(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "pairs")
-        found = self.verified(pairs)
-
-        chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-        large = left.filter(F.col("members") > SMALL_GROUP).withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), chunks - 1))
-        parts = large.withColumn("other", other).withColumn("part", F.least("chunk", "other") * 65_536 + F.greatest("chunk", "other"))
-        named = parts.select("key", "part", "chunk", "rep", "n", "component", "bands").groupBy("key", "part").applyInArrow(_partners(self.threshold), "key long, part int, rep long, partners array<bigint>")
-        named = materialize(named, "partners")
-        whole = named.join(self.texts.distinct(), "rep")
-        dense = whole.groupBy("key", "part").applyInArrow(_confirmed(self.threshold), "a long, b long")
-        self.add(found.unionByName(dense))
+        sizes = rows.join(self.unfinished(rows), "key", "left_semi").groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        open_ = sizes.groupBy("key").agg(F.sum("size").alias("members"), F.max("size").alias("most"), F.max_by("component", F.struct("size", "component")).alias("main"))
+        open_ = materialize(open_.select("key", "main", F.ceil(F.col("members") / CHUNK).alias("ls"), F.ceil((F.col("members") - F.col("most")) / CHUNK).alias("rs")), "open")
+        left = rows.join(open_, "key").join(self.reps.select("rep", "bands"), "rep").select("key", "rep", "n", "component", "bands", "main", "ls", "rs")
+        left = materialize(left, "left", codec="none")
+        own = lambda count, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), count)
+        one = left.withColumn("side", F.lit(0)).withColumn("l", own(F.col("ls"), 1)).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rs") - 1)))
+        two = left.filter("component <> main").withColumn("side", F.lit(1)).withColumn("r", own(F.col("rs"), 2)).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ls") - 1)))
+        columns = ["key", "l", "r", "side", "rep", "n", "component", "main", "bands"]
+        named = one.select(columns).unionByName(two.select(columns)).groupBy("key", "l", "r").applyInArrow(_partners(self.threshold), _PART)
+        whole = materialize(named, "partners").join(self.texts, "rep")
+        self.add(whole.groupBy("key", "l", "r").applyInArrow(_confirmed(self.threshold), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; ``threshold`` in percent."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    """doc_id, n_shingles, component_id, kept for every row; ``threshold`` in percent.
+
+    Equal sets are one class; links, hubs and components are of classes (``rep``).
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     sketches = materialize(rows.mapInArrow(_sketch, _SKETCH), "sketches", codec="none")
-    classes = materialize(sketches.filter("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep")), "classes")
-    first = sketches.join(classes.withColumn("doc_id", F.col("rep")), ["content", "doc_id"])
-    reps = materialize(first.select("rep", F.col("n_shingles").alias("n"), "bands"), "reps", codec="none")
-    members = reps.select("rep", "n", F.explode("bands").alias("band")).withColumn("key", F.col("band"))
+    known = sketches.filter("content is not null and doc_id is not null")
+    classes = known.groupBy("content").agg(F.min(F.struct("doc_id", "h")).alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("content", "low.doc_id", "low.h", "n", "bands", F.monotonically_increasing_id().alias("rep")), "classes", codec="none")
+    named = sketches.select("doc_id", "n_shingles", "content").join(classes.select("content", "rep"), "content", "left").drop("content")
+    named = materialize(named, "named")
+
+    reps = classes.select("rep", "n", "bands")
+    members = reps.select("rep", "n", F.explode("bands").alias("key"))
     shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
     grouped = materialize(members.join(shared, "key"), "grouped")
     weights = materialize(grouped.groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
-    groups = materialize(grouped.join(weights, "rep").select("key", "band", "rep", "n", "weight"), "groups")
-    texts = materialize(rows.join(weights, F.col("doc_id") == F.col("rep")).select("rep", "text"), "texts")
+    groups = materialize(grouped.join(weights, "rep").select("key", "rep", "n", "weight"), "groups")
+    wanted = classes.join(weights, "rep", "left_semi").select("rep", "doc_id", "h")
+    # Of rows that repeat both id and text one will do; they lie together after the join.
+    texts = materialize(rows.join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "text"), "texts")
+
     finder = _Finder(reps, texts, groups, threshold)
+    # Rows of one doc_id are one document, whatever their texts.
+    several = named.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").drop("b")
+    finder.add(named.join(several, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")))
     finder.star(F.col("weight"))
     finder.star(F.xxhash64("rep"))
+    finder.band_finely()
+    finder.star(F.col("weight"))
     finder.rest()
-    named = sketches.select("doc_id", "n_shingles", "content").join(classes, "content", "left")
+
     labels = finder.labels.select(F.col("node").alias("rep"), "component")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return named.join(labels, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    of_class = materialize(classes.select("rep", "doc_id").join(labels, "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component")), "of_class")
+    lowest = of_class.groupBy("component").agg(F.min("doc_id").alias("least"))
+    final = of_class.join(lowest, "component").select("rep", "least")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return named.join(final, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
