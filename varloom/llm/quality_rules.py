@@ -54,28 +54,24 @@ def base_measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_words() -> tuple[Column, Column, Column, Column]:
-    """Steps to the number of words in three-word windows that occur at least twice.
-
-    Each step's column is named as the next one expects it: windows, sorted, starts, the number.
+def repeated_words() -> str:
+    """SQL: number of words in three-word windows that occur at least twice, from ``hashes``.
 
     Windows sorted by hash stand beside their equals; the starts of those that have one, in
-    order, each cover three words or as many as come before the next start.
+    order, each cover three words or as many as come before the next start. Most texts have no
+    such window, which their distinct hashes tell.
     """
-    windows = F.expr("if(size(hashes) < 3, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - 3), i -> xxhash64(hashes[i], hashes[i + 1], hashes[i + 2])))")
-    by_hash = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    found = F.expr("transform(filter(sorted, (x, k) -> (k > 0 and sorted[k - 1].h = x.h) or (k < size(sorted) - 1 and sorted[k + 1].h = x.h)), x -> x.i)")
-    covered = F.expr("aggregate(starts, named_struct('n', 0L, 'until', 0), (a, p) -> named_struct('n', a.n + 3 - greatest(0, a.until - p), 'until', p + 3)).n")
-    return windows, by_hash, found, covered
+    windows = "if(size(hashes) < 3, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - 3), i -> xxhash64(hashes[i], hashes[i + 1], hashes[i + 2])))"
+    by_hash = "sort_array(transform(win, (h, i) -> named_struct('h', h, 'i', i)))"
+    found = "sort_array(transform(filter(pairs, (x, k) -> (k > 0 and pairs[k - 1].h = x.h) or (k < size(pairs) - 1 and pairs[k + 1].h = x.h)), x -> x.i))"
+    covered = "aggregate(starts, named_struct('n', 0L, 'until', 0), (a, p) -> named_struct('n', a.n + 3 - greatest(0, a.until - p), 'until', p + 3)).n"
+    # Bound by lambdas, so that each step is evaluated once.
+    return f"transform(array({windows}), win -> if(size(array_distinct(win)) = size(win), 0L, transform(array({by_hash}), pairs -> transform(array({found}), starts -> {covered})[0])[0]))[0]"
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """base_measures with n_repeat_words and base_failed."""
-    windows, by_hash, found, covered = repeated_words()
-    rows = base_measures(docs).withColumn("windows", windows)
-    some = F.size(F.array_distinct("windows")) < F.size("windows")
-    rows = rows.withColumn("sorted", F.when(some, by_hash)).withColumn("starts", F.when(F.col("sorted").isNotNull(), F.sort_array(found)))
-    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("windows", "sorted", "starts")
+    rows = base_measures(docs).withColumn("n_repeat_words", F.expr(repeated_words()))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     return rows.withColumn("base_failed", failed)
 
