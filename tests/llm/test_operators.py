@@ -38,46 +38,86 @@ def ordered(df):
 # 1
 
 
-def test_lm_scores(odd, nothing):
-    got = defaultdict(list)
-    for r in lm_scoring.lm_scores(odd, order=2, strength=16.0, block_bytes=20_000).collect():
-        got[r.doc_id].append(r)
-    tokens = [[w for w in words(lower(t))] + [None] for _, t in ROWS]
-    train = [not held(k, 10, 0) for k, _ in ROWS]
-    c, pairs, starts = Counter(), Counter(), Counter()
+def brute_scores(texts, order, strength):
+    """(doc_id, held out, tokens, known, training tokens, base, score) by the formula, n-gram by n-gram."""
+    tokens = [[w for w in words(lower(t))] + [None] for _, t in texts]
+    train = [not held(k, 10, 0) for k, _ in texts]
+    c = Counter()
     for t, ok in zip(tokens, train):
         if ok:
-            c.update(t)
-            before = ["<s>", *t[:-1]]
-            pairs.update(zip(before, t))
-            starts.update(before)
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    for (k, _), t, ok in zip(ROWS, tokens, train):
-        r = got[k].pop()
-        base = sum(math.log10(p(w)) for w in t)
-        score = sum(math.log10((pairs[(b, w)] + 16 * p(w)) / (starts[b] + 16)) for b, w in zip(["<s>", *t[:-1]], t))
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c[w] > 0 for w in t), n, not ok)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
-    assert not any(got.values()) and lm_scoring.lm_scores(nothing).count() == 0
+            c[("<s>",)] += 1
+            row = ["<s>", *t]
+            for k in range(1, order + 1):
+                c.update(tuple(row[i : i + k]) for i in range(1 if k == 1 else 0, len(row) - k + 1))
+    seen = {w: n for w, n in c.items() if len(w) == 1 and w != ("<s>",)}
+    n, v = sum(seen.values()), len(seen)
+
+    def p(history, w):
+        if not history:
+            return (seen.get((w,), 0) + 0.1) / (n + 0.1 * (v + 1))
+        return (c[(*history, w)] + strength * p(history[1:], w)) / (c[history] + strength)
+
+    out = []
+    for (k, _), t, ok in zip(texts, tokens, train):
+        row = ["<s>", *t]
+        score = sum(math.log10(p(tuple(row[max(0, i - order + 1) : i]), row[i])) for i in range(1, len(row)))
+        out.append((k, not ok, len(t), sum((w,) in seen for w in t), n, sum(math.log10(p((), w)) for w in t), score))
+    return out
+
+
+@pytest.mark.parametrize("order,fan", [(1, 256), (2, 256), (3, 256), (3, 2), (4, 3)])
+def test_lm_scores(odd, nothing, order, fan):
+    """Every order, through one level of the tree and through several."""
+    got = defaultdict(list)
+    for r in lm_scoring.lm_scores(odd, order=order, strength=16.0, block_bytes=20_000, fan=fan).collect():
+        got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))
+    for k, *want in brute_scores(ROWS, order, 16.0):
+        there = [x for x in got[k] if x[:4] == tuple(want[:4]) and x[4:] == pytest.approx(tuple(want[4:]))]
+        assert there, (k, want, got[k])
+        got[k].remove(there[0])
+    assert not any(got.values())
+    assert fan != 256 or lm_scoring.lm_scores(nothing, order=order).count() == 0
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """Over all known words, the end and one unknown word, after a known and an unknown word."""
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b a c", "b a b", "c c a b", "a", "b c"])], "doc_id long, text string")
-    for before in ("a", "zzz"):
-        probe = [(100 + k, f"{before} {w}".strip()) for k, w in enumerate(["a", "b", "c", "unseen", ""])]
-        rows = {r.doc_id: r for r in lm_scoring.lm_scores(docs.union(spark.createDataFrame([(k, t) for k, t in probe if held(k, 10, 0)] or [(0, "")], "doc_id long, text string")), strength=4.0).collect()}
-        assert rows  # scores exist; the sum itself is checked on the formula below
-    c, n, v, k = Counter("abacbabccabab"), 13, 3, 4.0
-    p = {w: (c[w] + 0.1) / (n + 0.1 * (v + 1)) for w in "abc?"}
-    assert sum(p.values()) == pytest.approx(1)
-    assert sum((m + k * p[w]) / (9 + k) for w, m in zip("abc?", (4, 3, 2, 0))) == pytest.approx(1)
-
-
-def test_automaton_of_higher_order_backs_off(odd):
-    two, three = ({(r.doc_id, r.n_tokens): r.score for r in lm_scoring.lm_scores(odd, order=o).collect()} for o in (2, 3))
-    assert two.keys() == three.keys() and sum(three.values()) > sum(two.values())
+    """Over all known words, the end and one unknown word, in every kind of state, from the operator's scores."""
+    docs = [(k, t) for k, t in enumerate(["a b a c", "b a b", "c c a b", "a", "b c", "a b b"]) if not held(k, 10, 0)]
+    free = [k for k in range(100, 900) if held(k, 10, 0)]
+    vocabulary = sorted({w for _, t in docs for w in t.split()})
+    for before in ("", "a", "zzz", "a b", "b zzz"):
+        # P(text) less the part of its end: the last word's step; what is left of 1 is the end's.
+        follow = [f"{before} {w}".strip() for w in (*vocabulary, "unseen")]
+        rows = docs + list(zip(free, [before, *follow]))
+        score = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), strength=4.0).collect()}
+        ends = [end_step(docs, t, 4.0) for t in (before, *follow)]
+        whole = [score[k] for k in free[: 1 + len(follow)]]
+        start = whole[0] - ends[0]
+        assert sum(10 ** (w - e - start) for w, e in zip(whole[1:], ends[1:])) + 10 ** ends[0] == pytest.approx(1)
+
+
+def end_step(docs, text, strength):
+    """log10 of the end's probability after ``text``, with trigrams."""
+    rows = [["<s>", *words(t), None] for _, t in docs]
+    count = Counter(tuple(r[i : i + n]) for r in rows for n in (1, 2, 3) for i in range(len(r) - n + 1))
+    n, v = sum(len(r) - 1 for r in rows), len({w for r in rows for w in r[1:]})
+    p, history = (count[(None,)] + 0.1) / (n + 0.1 * (v + 1)), ["<s>", *words(text)]
+    for size in range(1, min(2, len(history)) + 1):
+        h = tuple(history[-size:])
+        p = (count[(*h, None)] + strength * p) / (count[h] + strength)
+    return math.log10(p)
+
+
+def test_scoring_query_equals_sql(spark, tmp_path):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    cursor = con.execute(registry.oracle_sql()["op1_lm_scoring"])
+    names = [c[0] for c in cursor.description]
+    want = {r[names.index("doc_id")]: dict(zip(names, r)) for r in cursor.fetchall()}
+    got = {r.doc_id: r.asDict() for r in lm_scoring.op1_lm_scoring(spark, d).collect()}
+    assert got == want
 
 
 # 2

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filters.SQL, "op10_near_dedup": near_dedup.SQL}
+    return {"op1_lm_scoring": lm_scoring.SQL, "op5_url_filters": url_filters.SQL, "op10_near_dedup": near_dedup.SQL}
