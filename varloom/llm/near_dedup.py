@@ -12,7 +12,7 @@ from the start. Then, twice, every member of a band's group meets one hub of its
 member with the most company over all bands, then one by hash); pairs pass a comparison of
 set sizes (exact) and of collision-corrected sketch estimates (four standard deviations wide),
 and are confirmed on full sets. Groups whose members are by then in one component are
-finished. The members of the others are banded anew, in ``FINE_TABLES`` tables of eight buckets,
+finished. The members of the others are banded anew, in 120 bands of eight registers,
 whose groups hold only documents that are much more alike (at similarity 0.75 two share none
 with a probability of 3e-6), and meet hubs of these groups. What is then still apart is compared
 inside its fine groups: members outside a group's largest component with all its members, in
@@ -49,10 +49,10 @@ TABLES, BUCKETS, MANTISSA = 40, 4, 10
 MARGIN = 0.14
 #: Below so many shingles an estimate says little; such pairs are all confirmed on sets.
 FEW = 12
-#: Tables and buckets of the second banding.
-FINE_TABLES, FINE_BUCKETS = 120, 8
+#: Hashes of the second banding, buckets of each and registers of a band: 120 bands in all.
+FINE_TABLES, FINE_BUCKETS, FINE_BAND = 15, 64, 8
 #: Members of either side that a task compares at a time, and shingles that it confirms at a time.
-CHUNK, CHUNK_SHINGLES = 256, 1_000_000
+CHUNK, CHUNK_SHINGLES = 256, 50_000
 EMPTY = np.uint16(0xFFFF)
 #: Set apart the bands of different tables, so that a band says which table it is of.
 _NAME = np.random.default_rng(20240608).integers(-(1 << 63), 1 << 63, TABLES, np.int64)
@@ -78,36 +78,51 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(x)
 
 
-def smallest(x: np.ndarray, table: np.ndarray, buckets: int) -> np.ndarray:
-    """Registers (tables x buckets) of a set: leading zeros and mantissa of each smallest hash."""
-    bits = np.uint64(buckets.bit_length() - 1)
-    best = np.full((buckets, len(table)), _MAX)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(x), 8192):
-            h = x[at : at + 8192, None] * table
-            h ^= h >> np.uint64(32)
-            h *= _Q
-            bucket, value = h >> (np.uint64(64) - bits), h << bits
-            for k in range(buckets):
-                np.minimum(best[k], np.where(bucket == k, value, _MAX).min(0), out=best[k])
+def _register(best: np.ndarray) -> np.ndarray:
+    """Leading zeros and mantissa of smallest hashes."""
     bits = best.astype(np.float64).view(np.uint64)
     zeros = np.uint64(1023 + 63) - (bits >> np.uint64(52))
     register = (zeros << np.uint64(MANTISSA)) | ((bits >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1))
-    return np.where(best == _MAX, np.uint64(EMPTY), register).astype(np.uint16).T.copy()
+    return np.where(best == _MAX, np.uint64(EMPTY), register).astype(np.uint16)
 
 
 def registers(x: np.ndarray) -> np.ndarray:
     """Bands of a set: for each table one integer of four 16-bit registers."""
-    return smallest(x, _TABLE, BUCKETS).view(np.int64)[:, 0] ^ _NAME
+    best = np.full((BUCKETS, TABLES), _MAX)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(x), 8192):
+            h = x[at : at + 8192, None] * _TABLE
+            h ^= h >> np.uint64(32)
+            h *= _Q
+            bucket, value = h >> np.uint64(62), h << np.uint64(2)
+            for k in range(BUCKETS):
+                np.minimum(best[k], np.where(bucket == k, value, _MAX).min(0), out=best[k])
+    return _register(best).T.copy().view(np.int64)[:, 0] ^ _NAME
+
+
+_EDGES = np.arange(FINE_BUCKETS, dtype=np.uint64) << np.uint64(58)
 
 
 def fine_bands(x: np.ndarray) -> np.ndarray:
-    """Bands of the second banding: one hash of each table's eight registers and the table's number."""
-    two = smallest(x, _FINE_TABLE, FINE_BUCKETS).view(np.uint64)
+    """Distinct bands of the second banding: hashes of eight neighbouring registers and their number.
+
+    One hash fills 64 buckets; a band without any shingle says nothing and is left out.
+    """
+    best = np.full((FINE_TABLES, FINE_BUCKETS), _MAX)
     with np.errstate(over="ignore"):
-        h = (two[:, 0] * _P ^ two[:, 1] >> np.uint64(7)) * _Q + two[:, 1] * _P + np.arange(FINE_TABLES, dtype=np.uint64)
+        for t in range(FINE_TABLES):
+            h = x * _FINE_TABLE[t]
+            h ^= h >> np.uint64(32)
+            h = np.sort(h * _Q)
+            first = np.searchsorted(h, _EDGES)
+            there = first < len(h)
+            there[there] = h[first[there]] >> np.uint64(58) == np.flatnonzero(there).astype(np.uint64)
+            best[t, there] = h[first[there]] << np.uint64(6)
+        two = _register(best).reshape(-1, FINE_BAND).copy().view(np.uint64)
+        some = (two != _MAX).any(1)
+        h = (two[:, 0] * _P ^ two[:, 1] >> np.uint64(7)) * _Q + two[:, 1] * _P + np.arange(len(two), dtype=np.uint64)
         h = (h ^ h >> np.uint64(29)) * _P
-    return (h ^ h >> np.uint64(32)).view(np.int64)
+        return (h ^ h >> np.uint64(32))[some].view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -180,45 +195,29 @@ def _least_agreeing(threshold: int) -> int:
     return math.ceil(TABLES * BUCKETS * (threshold / 100 - MARGIN))
 
 
-_PART = "key long, l long, r long, rep long, partners array<bigint>"
+_PAIR = "hub long, rep long, n long"
 
 
 def _partners(threshold: int):
-    """Of two chunks of one group: each member on the left with its likely partners on the right."""
+    """Of two chunks of one group: each member on the right with its likely partners on the left."""
 
-    def run(key, table):
+    def run(table):
         side, rep, n, component, main = (table.column(c).to_numpy() for c in ("side", "rep", "n", "component", "main"))
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), TABLES)
         lanes = (bands ^ _NAME).view(np.uint16).reshape(len(rep), -1)
         left = np.flatnonzero(side == 0)
-        found: dict[int, list[int]] = {}
+        hubs, reps, sizes = [], [], []
         for i in np.flatnonzero(side == 1).tolist():
             # Pairs of two members outside the largest component would be met from both sides.
             j = left[(component[left] != component[i]) & ((component[left] == main[left]) | (rep[left] < rep[i]))]
             j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * threshold]
             agree = (lanes[j] == lanes[i]).sum(1)
             j = j[(np.minimum(n[j], n[i]) < FEW) | (agree >= _least_agreeing(threshold))]
-            if len(j):
-                found.setdefault(int(rep[i]), []).extend(rep[j].tolist())
-        wanted = {r for rows in found.values() for r in rows}
-        rows = [(r, found.get(r, [])) for r in sorted({*found, *wanted})]
-        k, l, r = (x.as_py() for x in key)
-        return pa.table([pa.array([k] * len(rows), pa.int64()), pa.array([l] * len(rows), pa.int64()), pa.array([r] * len(rows), pa.int64()), pa.array([x for x, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.list_(pa.int64()))], names=["key", "l", "r", "rep", "partners"])
-
-    return run
-
-
-def _confirmed(threshold: int):
-    """Links among the named partners of a group's two chunks, on full sets."""
-
-    def run(table):
-        sets: dict[int, np.ndarray] = {}
-        partners: dict[int, list[int]] = {}
-        for rep, named, text in zip(table.column("rep").to_pylist(), table.column("partners").to_pylist(), table.column("text")):
-            sets[rep] = shingles(text.as_py())
-            partners.setdefault(rep, []).extend(named)
-        links = [(min(rep, other), max(rep, other)) for rep, named in partners.items() for other in set(named) if _both(sets[rep], sets[other], threshold)]
-        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+            hubs.append(np.full(len(j), rep[i], np.int64))
+            reps.append(rep[j])
+            sizes.append(n[j])
+        none = [np.zeros(0, np.int64)]
+        return pa.table([pa.array(np.concatenate(x or none), pa.int64()) for x in (hubs, reps, sizes)], names=["hub", "rep", "n"])
 
     return run
 
@@ -259,7 +258,11 @@ class _Finder:
         near = pairs.filter(F.least("n", "n_hub") * 100 >= F.greatest("n", "n_hub") * self.threshold).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
         bands = lambda s: self.reps.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"bands_{s}"))
         likely = near.join(bands("a"), "a").join(bands("b"), "b").mapInArrow(_likely(self.threshold), "a long, b long, n_a long")
-        likely = materialize(likely.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.col("n_a").alias("n")), "likely")
+        self.link(likely.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.col("n_a").alias("n")))
+
+    def link(self, pairs: DataFrame) -> None:
+        """Add the links among likely pairs (rep, hub, n of rep), confirmed on full sets."""
+        likely = materialize(pairs, "likely")
         # A hub's text goes to as many tasks as its pairs' shingles need.
         parts = likely.groupBy("hub").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("parts"))
         dealt = materialize(likely.join(parts, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), "parts").alias("part")), "dealt")
@@ -332,9 +335,7 @@ class _Finder:
         one = left.withColumn("side", F.lit(0)).withColumn("l", own(F.col("ls"), 1)).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rs") - 1)))
         two = left.filter("component <> main").withColumn("side", F.lit(1)).withColumn("r", own(F.col("rs"), 2)).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ls") - 1)))
         columns = ["key", "l", "r", "side", "rep", "n", "component", "main", "bands"]
-        named = one.select(columns).unionByName(two.select(columns)).groupBy("key", "l", "r").applyInArrow(_partners(self.threshold), _PART)
-        whole = materialize(named, "partners").join(self.texts, "rep")
-        self.add(whole.groupBy("key", "l", "r").applyInArrow(_confirmed(self.threshold), "a long, b long"))
+        self.link(one.select(columns).unionByName(two.select(columns)).groupBy("key", "l", "r").applyInArrow(_partners(self.threshold), _PAIR).distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
