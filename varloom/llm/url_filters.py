@@ -54,19 +54,20 @@ def rule_table(spark: SparkSession, rules: tuple = RULES) -> DataFrame:
     """verdict, host, path, rule, key, labels of each distinct rule."""
     table = spark.createDataFrame(list(rules), "verdict string, host string, path string")
     table = table.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    key = F.concat(_reversed(F.col("host")), F.lit(_SEP), F.col("path"))
+    key = F.concat(_reversed(F.col("host")), F.lit(_SEP), F.col("path")).cast("binary")
     return table.select("verdict", "host", "path", F.concat("host", "path").alias("rule"), key.alias("key"), _labels(F.col("host")).alias("labels"))
 
 
 def edges(rules: DataFrame) -> DataFrame:
-    """key, after (0: before equal url keys, 1: after all that start with key), depth, stack."""
+    """key (bytes), after (0: before equal url keys, 1: after all that start with key), depth, stack."""
     entry = F.struct(F.length("path").alias("size"), "rule", "verdict", F.length("host").alias("host_size"))
     table = rules.select("key", "host", "path", entry.alias("entry"))
     shorter = table.select("host", F.col("path").alias("prefix"), F.col("entry").alias("above"))
     prefixes = table.select("key", "host", "path", "entry", F.explode(F.expr("transform(sequence(0, length(path)), n -> substring(path, 1, n))")).alias("prefix"))
     nested = prefixes.join(shorter, ["host", "prefix"]).groupBy("key", "path").agg(F.array_sort(F.collect_list("above")).alias("stack"))
     opened = nested.select("key", F.lit(0).alias("after"), F.size("stack").alias("depth"), "stack")
-    closed = nested.select(F.concat("key", F.lit("\U0010ffff")).alias("key"), F.lit(1).alias("after"), (-F.size("stack")).alias("depth"), F.expr("slice(stack, 1, size(stack) - 1)").alias("stack"))
+    # No text holds the byte FF, so this sorts right behind everything that begins with the key.
+    closed = nested.select(F.concat("key", F.lit(b"\xff")).alias("key"), F.lit(1).alias("after"), (-F.size("stack")).alias("depth"), F.expr("slice(stack, 1, size(stack) - 1)").alias("stack"))
     return opened.unionByName(closed)
 
 
@@ -104,14 +105,15 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, default: str = DEFAULT, p
     suffixes = sites.select("host", "path", F.explode(F.array_distinct(F.array_compact(wanted))).alias("suffix"))
     table = rule_table(spark, rules)
     suffixes = suffixes.join(table.select(F.col("host").alias("suffix")).distinct(), "suffix", "left_semi")
-    keyed = materialize(suffixes.select("host", "path", F.concat(_reversed(F.col("suffix")), F.lit(_SEP), F.col("path")).alias("key")), "keyed")
+    keyed = materialize(suffixes.select("host", "path", F.concat(_reversed(F.col("suffix")), F.lit(_SEP), F.col("path")).cast("binary").alias("key")), "keyed")
     partitions = max(1, -(-keyed.count() // partition_rows))
     open_ = sweep(keyed.select("key").distinct(), edges(table), partitions)
     top = F.expr("element_at(stack, -1)")
     best = F.max(F.struct((F.col("top.size") + F.col("top.host_size")).alias("total"), F.col("top.host_size").alias("host_size"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("b")
-    fitting = keyed.join(open_, "key").filter("size(stack) > 0").select("host", "path", top.alias("top"))
+    # Both grow with the urls, so neither is ever broadcast.
+    fitting = keyed.join(open_.hint("merge"), "key").filter("size(stack) > 0").select("host", "path", top.alias("top"))
     judged = materialize(fitting.groupBy("host", "path").agg(best).select("host", "path", "b.rule", "b.verdict"), "judged")
-    return rows.join(judged, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return rows.join(judged.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
