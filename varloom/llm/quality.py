@@ -7,12 +7,14 @@ features: words hashed to ``BUCKETS`` places (damped counts, unit length), and m
 text's structure with its ``n_chars`` column, standardised.
 
 The machine is fitted on the driver to a bounded, hash-chosen sample of labelled rows
-(``sample`` rows at most, halved between the labels); every document is scored. What is
-broadcast is the sample's ids and labels, and the model: both of a fixed size.
+(``sample`` documents at most, halved between the labels, and of each half as many as have
+``sample_features`` / 2 features together); every document is scored. What is broadcast is the
+sample's ids and labels, and the model: both of a fixed size. The driver holds 24 bytes a feature.
 
 Nulls and odd rows: a null or empty text is scored by its structure; a null n_chars counts as
-the text's length; rows with a null id or label teach nothing; repeated rows are scored once
-each; with labels of fewer than two kinds every score is that kind's (0.5 without any); an
+the text's length; rows with a null id or label teach nothing; rows that repeat a labelled
+doc_id teach once, by the text of the least hash, and labels that contradict count as good;
+repeated rows are scored once each; with labels of fewer than two kinds every score is that kind's (0.5 without any); an
 empty table gives no rows; other columns are ignored, or kept by ``keep_good``.
 """
 
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc32, slices
+from .common import documents, id_crc32, materialize, slices
 
 BUCKETS = 1 << 16
 STRUCTURE = ("log_words", "word_length", "upper", "digit", "symbol", "exclaim", "punctuation", "other_byte", "distinct", "dup_lines", "line_length", "upper_words", "log_chars", "chars_a_byte")
@@ -152,20 +154,25 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def training_rows(labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, quality): at most ``sample`` / 2 rows of each label, the first by hash of the id.
+    """(doc_id, quality): at most ``sample`` / 2 documents of each label, the first by hash of the id.
 
     Only rows whose crc32(doc_id) mod 3 is not 1 may teach.
     """
     may = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(id_crc32() % 3 != 1)
+    may = may.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     by_hash = [F.xxhash64("doc_id"), "doc_id"]
     return may.filter("quality = 0").orderBy(*by_hash).limit(sample // 2).unionByName(may.filter("quality = 1").orderBy(*by_hash).limit(sample // 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> FactorisationMachine:
-    """Fit the machine; the features of the sample are all that reaches the driver.
+def within(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (doc_id, quality, n, ...) of each label, in the order of the sample, while n adds up to ``most`` at most."""
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    kept = rows.select("doc_id", "quality", "n").withColumn("total", F.sum("n").over(order)).filter(F.col("total") <= most)
+    return rows.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi")
 
-    A text has at most 65,536 features, so the driver holds under 1 MB for the longest one.
-    """
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, sample_features: int = 20_000_000) -> FactorisationMachine:
+    """Fit the machine; the features of the sample are all that reaches the driver."""
     sampled = training_rows(labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Factorisat
                 parts = [(index[a:b].astype("<u4").tobytes(), value[a:b].astype("<f4").tobytes(), s.tobytes()) for a, b, s in zip(bounds, bounds[1:], structure)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *(pa.array(c, pa.binary()) for c in zip(*parts))], names=["doc_id", "quality", "i", "x", "s"])
 
-    rows = _inputs(docs).join(F.broadcast(sampled), "doc_id").select("doc_id", "quality", "text", "n_chars")
-    got = rows.mapInArrow(run, "doc_id long, quality int, i binary, x binary, s binary").collect()
+    found = _inputs(docs).join(F.broadcast(sampled), "doc_id").groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("d"))
+    rows = materialize(found.select("doc_id", "quality", "d.text", "d.n_chars").mapInArrow(run, "doc_id long, quality int, i binary, x binary, s binary"), "sample").withColumn("n", F.octet_length("i") / 4)
+    got = within(rows, sample_features // 2).collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.i)))
     machine = FactorisationMachine()
     y = np.array([r.quality for r in got])
