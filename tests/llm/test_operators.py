@@ -195,13 +195,22 @@ def test_capped_sources(spark):
 
 
 def test_split_tree_keeps_quotas(spark):
-    copies = spark.createDataFrame([("a", 37), ("b", 5), (None, 58)], "source string, copies long")
-    rows = mixing.split_tree(copies, 7, 3).collect()
-    assert {s: sum(r.quota for r in rows if r.source == s) for s in ("a", "b", None)} == {"a": 37, "b": 5, None: 58}
-    assert max(sum(r.quota for r in rows if r.shard == k) for k in range(7)) <= 16
-    for s in ("a", "b", None):
-        run = sorted((r.first, r.until) for r in rows if r.source == s and r.quota)
-        assert all(x[1] == y[0] for x, y in zip(run, run[1:]))
+    quotas = {0: 37, 1: 5, 2: 58}
+    copies = spark.createDataFrame(list(quotas.items()), "sid int, copies long")
+    for shards in (1, 7, 300):
+        rows = mixing.split_tree(copies, shards, 3).collect()
+        assert len(rows) == 3 * shards and {s: sum(r.quota for r in rows if r.sid == s) for s in quotas} == quotas
+        assert max(sum(r.quota for r in rows if r.shard == k) for k in range(shards)) <= -(-100 // shards) + (shards - 1).bit_length()
+        for s in quotas:
+            run = sorted((r.first, r.until, r.shard) for r in rows if r.sid == s and r.quota)
+            assert run[0][0] == 0 and run[-1][1] == quotas[s] and all(x[1] == y[0] and x[2] < y[2] for x, y in zip(run, run[1:]))
+
+
+def test_draws_are_hypergeometric(spark):
+    """Mean and variance of the left half's count over many trees."""
+    copies = spark.createDataFrame([(0, 30), (1, 70)], "sid int, copies long")
+    got = [r.quota for seed in range(10) for r in mixing.split_tree(copies, 2, seed).filter("sid = 0 and shard = 0").collect()]
+    assert abs(np.mean(got) - 15) < 2.5 and 0.8 < np.var(got) < 18  # 15 and 5.3
 
 
 def test_mixed_rows_follow_the_plan(odd):
@@ -215,6 +224,29 @@ def test_mixed_rows_follow_the_plan(odd):
     assert {k: v for k, v in plan.items() if v} == dict(found)
 
 
+def test_repeated_ids_are_mixed_row_by_row(spark):
+    """Rows of one id, null included, in different sources and with different texts."""
+    rows = [(1, "w " * 100, "a"), (1, "x " * 10, "b"), (2, "y " * 50, "c"), (None, "z " * 30, "a"), (None, "z " * 30, "a"), (None, "v " * 20, None), (3, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    plan, found = Counter(), Counter()
+    for r in mixing.plan_mix(docs, shard_words=40).collect():
+        plan[(r.doc_id, r.source, r.size)] += r.taken
+    for r in mixing.mix(docs, shard_words=40).collect():
+        w = words(r.text)
+        found[(r.doc_id, r.source, {"w": 100, "x": 10, "y": 50, "z": 30, "v": 20}[w[0]])] += len(w)
+    assert +plan == found
+    want = targets({"a": 160, "b": 10, "c": 50, None: 20})
+    assert {s: sum(n for k, n in plan.items() if k[1] == s) for s in want} == pytest.approx(want, abs=1)
+
+
+def test_copies_lie_in_the_shards_that_drew_them(odd):
+    """Each copy has a shard, no shard is far from its share of the words, reruns agree on both."""
+    docs = odd.filter("size(split(text, ' ')) < 1000")
+    got, again = (sorted((str(r.doc_id), r.size, r.taken, r.shards) for r in mixing.plan_mix(docs, shard_words=600).collect()) for _ in range(2))
+    assert got == again
+    assert all(len(s) == -(-t // n) if n else not s or t == 0 for _, n, t, s in got)
+
+
 # 4
 
 
@@ -234,7 +266,52 @@ def test_quality_rules(odd, nothing, labels):
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.judge(odd, weights).collect())
     assert got == Counter((k, *measures(t)) for k, t in ROWS)
     assert quality_rules.judge(nothing, weights).count() == 0
-    assert set(quality_rules.place_weights(quality_rules.place_counts(nothing, labels))) == {0.0}
+    none = quality_rules.place_weights(quality_rules.place_counts(nothing, labels)).first()
+    assert set(none.first) == set(none.second) == {0.0} and len(none.first) == 2 * quality_rules.BUCKETS
+
+
+def test_scores_and_verdicts_by_hand(spark, odd, labels):
+    """Weights, scores, the cut and the verdict beside plain Python, with Spark's hashes as given."""
+    buckets, sample = 64, 9
+    rows = [(r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()]
+    distinct = sorted({w for _, t in rows for w in words(t)})
+    h = {r.w: r.h for r in spark.createDataFrame([(w,) for w in distinct], "w string").selectExpr("w", "xxhash64(w) as h").collect()}
+    pairs = sorted({(h[a], h[b]) for _, t in rows for a, b in zip(words(t), words(t)[1:])})
+    g = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a long, b long").selectExpr("a", "b", "xxhash64(a, b) as h").collect()}
+    fold = {r.t: r.f for r in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").selectExpr("t", "pmod(hash(t), 2) as f").collect()}
+    order = {r.k: r.h for r in spark.createDataFrame([(k,) for k in range(30)], "k long").selectExpr("k", "xxhash64(k) as h").collect()}
+    grams = lambda t: [h[w] % buckets for w in words(t)] + [buckets + g[h[a], h[b]] % buckets for a, b in zip(words(t), words(t)[1:])]
+    good = sorted((k for k in range(30) if k % 2 == 1 and not held(k, 3, 1)), key=lambda k: (order[k], k))[:sample]
+    raw, target = Counter(), (Counter(), Counter())
+    for k, t in rows:
+        raw.update(grams(t))
+        if k in good:
+            target[fold[t]].update(grams(t))
+
+    def weight(place, which):
+        kind = place >= buckets
+        of = lambda c: sum(n for p, n in c.items() if (p >= buckets) == kind)
+        t = target[which]
+        return math.log((t[place] + 1) / (raw[place] * of(t) / of(raw) + 1)) if of(t) and place in raw else 0.0
+
+    assert all(sum(t.values()) for t in target)
+    want = {}
+    for k, t in rows:
+        w = grams(t)
+        want[k, t] = sum(weight(p, 1 - fold[t]) for p in w) / len(w) if w else 0.0
+    weights = quality_rules.place_weights(quality_rules.place_counts(odd, labels, buckets, sample), buckets)
+    got = quality_rules.scored(odd, weights, buckets).collect()
+    for r in got:
+        assert any(k == r.doc_id and r.score == pytest.approx(s, abs=1e-9) for (k, _), s in want.items())
+    scores = quality_rules.scored(odd, weights, buckets)
+    cut = quality_rules.separating(scores, labels)
+    teach = {k: k % 2 for k in range(30) if not held(k, 3, 1)}
+    seen = [(r.score, teach[r.doc_id]) for r in got if not r.base_failed and r.doc_id in teach]
+    n = Counter(q for _, q in seen)
+    rate = lambda c: sum((s >= c) == bool(q) and 1 / n[q] for s, q in seen)
+    assert rate(cut) >= max(rate(s) for s, _ in seen) - 1e-9 or cut == quality_rules.THRESHOLD
+    kept = {r.doc_id for r in quality_rules.decide(scores, cut).collect() if r.kept}
+    assert kept == {r.doc_id for r in got if not r.base_failed and r.score >= cut}
 
 
 def test_ratio_rejects_what_the_target_lacks(spark):
@@ -260,7 +337,7 @@ def test_ratio_holds_for_a_large_vocabulary(spark, tmp_path):
 
 def test_url_filters(spark):
     rules = (("block", "com", "/en/"), ("allow", "a.com", "/en/7"), ("block", "a.com", "/en/77"), ("allow", "b", ""), ("block", "x.b", "/"))
-    urls = [None, "", "nothing", "http://", "http://com/en/", "HTTPS://W.A.COM/en/771?x#y", "http://a.com/en/7", "http://aa.com/en/7", "http://a.com#/en/7", "ftp://b", "ftp://x.b", "ftp://x.b/", "ftp://q.x.b/z?/", "http://com/en/" * 3, "http://a.com/EN/7"] + ["http://b/x"] * 3
+    urls = [None, "", "nothing", "http://com/en/\U0010ffffx", "http://com/en/\U0010ffff", "http://com/en", "http://a.com/en/7\U0010ffff\U0010ffff", "http://com/en0", "http://", "http://com/en/", "HTTPS://W.A.COM/en/771?x#y", "http://a.com/en/7", "http://aa.com/en/7", "http://a.com#/en/7", "ftp://b", "ftp://x.b", "ftp://x.b/", "ftp://q.x.b/z?/", "http://com/en/" * 3, "http://a.com/EN/7"] + ["http://b/x"] * 3
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, partition_rows=3).collect())
     want = Counter()
     for k, u in enumerate(urls):
