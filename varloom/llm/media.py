@@ -1,7 +1,10 @@
 """Media columns: interleaved document sequences with payloads resolved by digest.
 
 HTML becomes an ordered array of structs, one for each text run or media reference:
-``position, kind ('text' or 'media'), text, digest, caption``. A media store is a table of
+``position, kind ('text' or 'media'), text, digest, caption``. A figure's caption goes to all of
+its media, wherever in the figure it stands; scripts, styles, templates and noscript parts give
+neither text nor media; a template, noscript part or caption that is never closed hides nothing.
+A media store is a table of
 (digest, stored form); references meet it in a join on the digest, after which every struct is
 still at its position with its own caption.
 
@@ -95,62 +98,110 @@ def feature(samples: np.ndarray) -> str:
 
 
 class _Reader(HTMLParser):
-    """Text runs and media references in document order; a figure's caption goes to its media."""
-
-    BREAKS = frozenset("p div br li ul ol table tr td th h1 h2 h3 h4 h5 h6 article section nav figure header footer main aside".split())
-    SILENT = frozenset(("script", "style", "template", "noscript"))
-    MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
+    """Start tags, end tags and text of a page, in order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.segments: list[dict] = []
-        self.text: list[str] = []
-        self.silent, self.caption, self.figures = 0, None, []
-
-    def _flush(self) -> None:
-        run = " ".join("".join(self.text).split())
-        self.text = []
-        if run:
-            self.segments.append({"position": len(self.segments), "kind": "text", "text": run, "digest": None, "caption": None})
+        self.events: list[tuple[str, str, dict]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SILENT:
-            self.silent += 1
-        if tag in self.BREAKS or tag in self.MEDIA or tag == "figcaption":
-            self._flush()
-        if tag == "figure":
-            self.figures.append(len(self.segments))
-        elif tag == "figcaption":
-            self.caption = []
-        elif tag in self.MEDIA:
-            named = dict(attrs)
-            source = named.get("src") or ""
-            self.segments.append({"position": len(self.segments), "kind": "media", "text": None, "digest": source.removeprefix("media:"), "caption": named.get("alt")})
+        self.events.append(("start", tag, dict(attrs)))
+
+    def handle_startendtag(self, tag, attrs):
+        self.events.append(("start", tag, dict(attrs)))
+        if tag in HIDDEN or tag in ("figure", "figcaption"):
+            self.events.append(("end", tag, {}))
 
     def handle_endtag(self, tag):
-        if tag in self.SILENT and self.silent:
-            self.silent -= 1
-        if tag == "figcaption" and self.caption is not None:
-            run, self.caption = " ".join("".join(self.caption).split()), None
-            for s in self.segments[self.figures[-1] if self.figures else len(self.segments) :]:
-                if s["kind"] == "media":
-                    s["caption"] = run
-        elif tag in self.BREAKS:
-            self._flush()
-        if tag == "figure" and self.figures:
-            self.figures.pop()
+        self.events.append(("end", tag, {}))
 
     def handle_data(self, data):
-        if not self.silent:
-            (self.text if self.caption is None else self.caption).append(data)
+        self.events.append(("text", data, {}))
+
+
+BREAKS = frozenset("p div br li ul ol table tr td th h1 h2 h3 h4 h5 h6 article section nav figure figcaption header footer main aside".split())
+HIDDEN = frozenset(("script", "style", "template", "noscript"))
+MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
+
+
+def _closings(events: list[tuple[str, str, dict]], tags: frozenset, within: str | None = None) -> dict[int, int]:
+    """Place of each start tag's own end tag, for those that have one.
+
+    A caption must close before the figure that it opened in does.
+    """
+    found: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {t: [] for t in tags}
+    for i, (kind, tag, _) in enumerate(events):
+        if kind == "start" and tag in tags:
+            waiting[tag].append(i)
+        elif kind == "end" and tag in tags and waiting[tag]:
+            found[waiting[tag].pop()] = i
+        elif within and kind == "end" and tag == within:
+            for open_ in waiting.values():
+                open_.clear()
+    return found
+
+
+def _run(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
 
 
 def segments(source: str | None) -> list[dict]:
+    """The ordered structs of a page."""
     reader = _Reader()
     reader.feed(source or "")
     reader.close()
-    reader._flush()
-    return reader.segments
+    hidden = _closings(reader.events, HIDDEN)
+    hidden = sorted(hidden.items())
+    events, upto = [], -1
+    for i, e in enumerate(reader.events):
+        while hidden and hidden[0][0] < i:
+            upto = max(upto, hidden.pop(0)[1])
+        if hidden and hidden[0][0] == i:
+            upto = max(upto, hidden.pop(0)[1])
+        if i > upto:
+            events.append(e)
+    captions = _closings(events, frozenset(("figcaption",)), "figure")
+    out: list[dict] = []
+    text: list[str] = []
+    figures: list[tuple[int, list[str]]] = []  # first segment, captions
+    until, caption = -1, []
+
+    def flush() -> None:
+        run = _run(text)
+        text.clear()
+        if run:
+            out.append({"position": len(out), "kind": "text", "text": run, "digest": None, "caption": None})
+
+    def leave() -> None:
+        first, found = figures.pop()
+        for s in out[first:]:
+            if s["kind"] == "media" and found:
+                s["caption"] = " ".join(found)
+
+    for i, (kind, tag, attrs) in enumerate(events):
+        if kind == "text":
+            (caption if i < until else text).append(tag)
+            continue
+        if i < until:
+            caption.append(" " if tag in BREAKS else "")
+        elif tag in BREAKS or tag in MEDIA:
+            flush()
+        if i == until:
+            figures[-1][1].append(_run(caption))
+            caption = []
+        if kind == "start" and tag in MEDIA:
+            out.append({"position": len(out), "kind": "media", "text": None, "digest": (attrs.get("src") or "").removeprefix("media:"), "caption": attrs.get("alt")})
+        elif kind == "start" and tag == "figure":
+            figures.append((len(out), []))
+        elif kind == "start" and tag == "figcaption" and i in captions and figures and i >= until:
+            until, caption = captions[i], []
+        elif kind == "end" and tag == "figure" and figures:
+            leave()
+    flush()
+    while figures:
+        leave()
+    return out
 
 
 def interleave(pages: DataFrame, key: str, html_column: str) -> DataFrame:
