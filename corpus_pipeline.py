@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from varloom.llm import mixing, near_dedup, packing, pii, quality
-from varloom.llm.common import documents, materialize
+from varloom.llm.common import documents, materialize, scope
 from varloom.llm.subwords import vocabulary_path
 
 
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scope(spark):  # what a stage wrote for itself goes once its result is written
+            docs = materialize(stage(spark, docs, sf_dir), name, outside=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,14 +56,15 @@ def application_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/varloom/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy", outside: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, gives the planner real sizes,
-    and makes sure that branches reusing ``df`` see the same rows.
+    and makes sure that branches reusing ``df`` see the same rows. ``outside``: the table
+    outlives the innermost ``scope``.
     """
     spark = df.sparkSession
-    path = f"{application_dir(spark)}/{_SCOPE[-1]}{uuid.uuid4().hex}/{tag}"
+    path = f"{application_dir(spark)}/{_SCOPE[-2 if outside and len(_SCOPE) > 1 else -1]}{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
