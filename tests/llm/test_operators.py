@@ -156,6 +156,44 @@ def test_interleaving_keeps_positions_and_captions(spark):
     assert got == {"d1": None, "d2": 192}
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<figure><figcaption>first</figcaption><img src=a><img src=b alt=x></figure><p>t", [("a", "first"), ("b", "first"), "t"]),
+        ("<figure><img src=a><figcaption>open<p>rest</figure>tail", [("a", None), "open", "rest", "tail"]),
+        ("<figure><img src=a><figcaption>open <b>end", [("a", None), "open end"]),
+        ("a<template>b<img src=c></template>d<template>e", ["ade"]),
+        ("a<noscript>b<img src=c></noscript><img src=d>", ["a", ("d", None)]),
+        ("a<script>if (x < 1) { '<img src=q>' }</script><style>p {}</style>b", ["ab"]),
+        ("<figure><figure><img src=a><figcaption>in</figcaption></figure><img src=b><figcaption>out <i>er</i><br>two</figcaption></figure>", [("a", "out er two"), ("b", "out er two")]),
+        ("<figcaption>no figure</figcaption><img src=a>", ["no figure", ("a", None)]),
+        ("</figure></figcaption></p><img><img src alt>", [("", None), ("", None)]),
+        ("<figure/><p/>x<img src=a/><template/>y", ["x", ("a/", None), "y"]),
+        ("a &amp; b &lt;img src=q&gt; <!-- <img src=z> --> c", ["a & b <img src=q> c"]),
+        ("", []),
+        ("<", ["<"]),
+    ],
+)
+def test_ordinary_pages(page, want):
+    """Captions before their media, unclosed and nested elements, hidden parts."""
+    got = [s["text"] if s["kind"] == "text" else (s["digest"], s["caption"]) for s in media.segments(page)]
+    assert got == want and [s["position"] for s in media.segments(page)] == list(range(len(got)))
+
+
+def test_features_by_hand(spark):
+    """The feature of stored payloads, pixel by pixel."""
+    for text in ("", "x", "café " * 300, "".join(chr(33 + k % 90) for k in range(5_000))):
+        payload = media.pad(text.encode())
+        pixels = [payload[i : i + 3] for i in range(0, len(payload), 3)]
+        n = len(pixels)
+        means = [sum(p[c] for p in pixels) * 100 // n for c in range(3)]
+        spread = [round(math.sqrt(n * sum(p[c] ** 2 for p in pixels) - sum(p[c] for p in pixels) ** 2) * 100 / n) for c in range(3)]
+        size = len(payload) // 64
+        cells = [sum(payload[i * size : (i + 1) * size if i < 63 else len(payload)]) for i in range(64)]
+        bits = "".join("1" if c * 64 > sum(payload) else "0" for c in cells)
+        assert media.feature(media.from_png(media.to_png(payload))) == f"64x{len(payload) // 192};mean={','.join(map(str, means))};dev={','.join(map(str, spread))};ahash={int(bits, 2):016x}"
+
+
 # 3
 
 
@@ -412,13 +450,17 @@ def library():
 
 
 def test_encoder_equals_library(library):
-    hard = ["", " a", "a ", "a  b", "\n\nfoo bar. \n x", "don't go.", "İΣ Σas. ος", "é ́x", "foo,bar. baz.", "<|endoftext|> hi", "12.5, zz.", "a  b c\u0085 d", "x.\nY, z.\n", "a\x01b c", "café Ÿ ª µm", None]
+    r = random.Random(5)
+    pool = [*"abcZ.,.,  \n'!019-İıßéσςΣЖё", "\u0307", "\u0301", "\u093c", "\u0958", "\ufb1d", "\u2126", "\u3000", "\u00a0", "\u1e9e", "\ufb01", "\u1f80", "\U00010400", ". ", "'s "]
+    fuzz = ["".join(r.choice(pool) if r.random() < 0.9 else chr(r.choice([r.randrange(32, 0x2FF), r.randrange(0x300, 0xD7FF), r.randrange(0xE000, 0x10FFFF)])) for _ in range(r.randint(0, 25))) for _ in range(3_000)]
+    hard = [*fuzz, "KARAR VERİLDİ. Sonra", "TARİHİ, yeni", "", " a", "a ", "a  b", "\n\nfoo bar. \n x", "don't go.", "İΣ Σas. ος", "é ́x", "foo,bar. baz.", "<|endoftext|> hi", "12.5, zz.", "a  b c\u0085 d", "x.\nY, z.\n", "a\x01b c", "café Ÿ ª µm", None]
     for name, keeps, end in (("byte_bpe_50k.json", True, 1), ("word_bpe_49k.json", False, 2)):
         coder, want = subwords.Encoder(subwords.vocabulary_path(name), keeps, end, cache_units=8), library(name, end)
+        want = {t: want(t).tolist() for t in hard}.__getitem__
         for _ in range(2):
             ids, bounds = coder.encode(pa.array(hard))
             for k, t in enumerate(hard):
-                assert ids[bounds[k] : bounds[k + 1]].tolist() == want(t).tolist(), (name, t)
+                assert ids[bounds[k] : bounds[k + 1]].tolist() == want(t), (name, t)
 
 
 def test_packing(odd, nothing, library):
@@ -448,22 +490,35 @@ def test_token_files(odd, nothing, library):
     assert shards.count() > 1
     got = sorted(token_files.read_back(shards).collect(), key=lambda r: r.start)
     want, at = library("word_bpe_49k.json", 2), 0
-    rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))  # texts of one id are equal here
     assert [r.doc_id for r in got] == [k for k, _ in rows]
     for r, (_, t) in zip(got, rows):
         ids = want(t)
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     by_key = {k: t for k, t in ROWS}
-    for record in shards.collect():
-        shard = token_files.Shard(record.asDict())
-        for k in set(shard.keys.tolist()):
-            key = None if k == token_files.NULL_KEY else k
-            assert [x.tolist() for x in shard.get(key)] == [want(by_key[key]).tolist()] * sum(x == key for x, _ in ROWS)
-        assert shard.get(10**15) == []
+    for key, found in token_files.lookup(shards, [*by_key, 10**15]).items():
+        assert [x.tolist() for x in found] == [want(by_key.get(key)).tolist()] * sum(x == key for x, _ in ROWS)
     assert token_files.read_back(token_files.write_shards(nothing, subwords.vocabulary_path("word_bpe_49k.json"))).count() == 0
 
 
+def test_a_key_in_many_shards(spark, library, tmp_path):
+    """One id for most rows, null for others, written to a folder of the caller's."""
+    r = random.Random(2)
+    rows = [(7, " ".join(r.choice("abcdef") for _ in range(r.randint(0, 60)))) for _ in range(400)] + [(None, "x y")] * 90 + [(3, "z"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shards = token_files.write_shards(docs, subwords.vocabulary_path("word_bpe_49k.json"), partition_bytes=400, shard_bytes=300, out=f"{tmp_path}/ids")
+    want = library("word_bpe_49k.json", 2)
+    assert token_files.directory(shards).filter("first_key <= 7 and last_key >= 7").count() > 3
+    got = sorted(token_files.read_back(shards).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert all(x.start + x.n_tokens == y.start for x, y in zip(got, got[1:])) and got[0].start == 0
+    assert Counter((x.doc_id, x.n_tokens, x.ids_crc32) for x in got) == Counter((k, len(want(t)), zlib.crc32(want(t).tobytes())) for k, t in rows)
+    found = token_files.lookup(shards, [7, None, 4])
+    assert Counter(tuple(x.tolist()) for x in found[7]) == Counter(tuple(want(t).tolist()) for k, t in rows if k == 7)
+    assert len(found[None]) == 90 and found[4] == []
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 3_000))
     index, slots = token_files.PerfectHash.build(keys)
