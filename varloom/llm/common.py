@@ -93,6 +93,13 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Fewer rows in an Arrow batch, where the session has the default: texts are long, workers hold less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) == 10_000:
+        spark.conf.set(name, str(rows))
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size of ``df``, from file sizes and without a scan; else the texts' bytes."""
     try:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices
+from .common import documents, materialize, slices, small_batches, trim
 
 WIDTH = 5
 TABLES, BUCKETS, MANTISSA = 40, 4, 10
@@ -53,6 +53,8 @@ FEW = 12
 FINE_TABLES, FINE_BUCKETS, FINE_BAND = 15, 64, 8
 #: Members of either side that a task compares at a time, and shingles that it confirms at a time.
 CHUNK, CHUNK_SHINGLES = 256, 50_000
+#: Bytes of a group after which a worker gives freed memory back.
+BIG = 1 << 20
 EMPTY = np.uint16(0xFFFF)
 #: Set apart the bands of different tables, so that a band says which table it is of.
 _NAME = np.random.default_rng(20240608).integers(-(1 << 63), 1 << 63, TABLES, np.int64)
@@ -104,9 +106,9 @@ _EDGES = np.arange(FINE_BUCKETS, dtype=np.uint64) << np.uint64(58)
 
 
 def fine_bands(x: np.ndarray) -> np.ndarray:
-    """Distinct bands of the second banding: hashes of eight neighbouring registers and their number.
+    """Bands of the second banding, in order: hashes of eight neighbouring registers and their number.
 
-    One hash fills 64 buckets; a band without any shingle says nothing and is left out.
+    One hash fills 64 buckets; a band without any shingle says nothing and is 0.
     """
     best = np.full((FINE_TABLES, FINE_BUCKETS), _MAX)
     with np.errstate(over="ignore"):
@@ -122,7 +124,7 @@ def fine_bands(x: np.ndarray) -> np.ndarray:
         some = (two != _MAX).any(1)
         h = (two[:, 0] * _P ^ two[:, 1] >> np.uint64(7)) * _Q + two[:, 1] * _P + np.arange(len(two), dtype=np.uint64)
         h = (h ^ h >> np.uint64(29)) * _P
-        return (h ^ h >> np.uint64(32))[some].view(np.int64)
+        return np.where(some, h ^ h >> np.uint64(32), np.uint64(0)).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -145,7 +147,7 @@ _SKETCH = "doc_id long, h long, n_shingles long, content binary, bands array<big
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text", 4 << 20):
+        for batch in slices(whole, "text", 2 << 20):
             size, content, bands = [], [], []
             for text in batch.column("text"):
                 x = shingles(text.as_py())
@@ -186,6 +188,8 @@ def _linked(threshold: int):
                 if _both(shingles(text.as_py()), y, threshold):
                     a.append(min(rep, hub))
                     b.append(max(rep, hub))
+        if left.nbytes > BIG:
+            trim()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -195,36 +199,63 @@ def _least_agreeing(threshold: int) -> int:
     return math.ceil(TABLES * BUCKETS * (threshold / 100 - MARGIN))
 
 
-_PAIR = "hub long, rep long, n long"
+_PART = "key long, l long, r long, rep long, partners array<bigint>"
 
 
 def _partners(threshold: int):
-    """Of two chunks of one group: each member on the right with its likely partners on the left."""
+    """Of two chunks of one group: each member on the right with its likely partners on the left.
 
-    def run(table):
+    A pair belongs to the group of its first common band.
+    """
+
+    def run(key, table):
         side, rep, n, component, main = (table.column(c).to_numpy() for c in ("side", "rep", "n", "component", "main"))
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), TABLES)
+        bands, fine = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(rep), -1) for c in ("bands", "fine"))
         lanes = (bands ^ _NAME).view(np.uint16).reshape(len(rep), -1)
+        k, l, r = (x.as_py() for x in key)
+        home = fine == np.int32(k >> 32)
         left = np.flatnonzero(side == 0)
-        hubs, reps, sizes = [], [], []
+        found: dict[int, list[int]] = {}
         for i in np.flatnonzero(side == 1).tolist():
             # Pairs of two members outside the largest component would be met from both sides.
             j = left[(component[left] != component[i]) & ((component[left] == main[left]) | (rep[left] < rep[i]))]
             j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * threshold]
             agree = (lanes[j] == lanes[i]).sum(1)
             j = j[(np.minimum(n[j], n[i]) < FEW) | (agree >= _least_agreeing(threshold))]
-            hubs.append(np.full(len(j), rep[i], np.int64))
-            reps.append(rep[j])
-            sizes.append(n[j])
-        none = [np.zeros(0, np.int64)]
-        return pa.table([pa.array(np.concatenate(x or none), pa.int64()) for x in (hubs, reps, sizes)], names=["hub", "rep", "n"])
+            if len(j):
+                common = (fine[j] == fine[i]) & (fine[i] != 0)
+                j = j[home[i][common.argmax(1)]]
+            if len(j):
+                found.setdefault(int(rep[i]), []).extend(rep[j].tolist())
+        wanted = {x for named in found.values() for x in named}
+        rows = [(x, found.get(x, [])) for x in sorted({*found, *wanted})]
+        if table.nbytes > BIG:
+            trim()
+        return pa.table([*(pa.array([v] * len(rows), pa.int64()) for v in (k, l, r)), pa.array([x for x, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.list_(pa.int64()))], names=["key", "l", "r", "rep", "partners"])
+
+    return run
+
+
+def _confirmed(threshold: int):
+    """Links among the named partners of a group's two chunks, on full sets."""
+
+    def run(table):
+        sets: dict[int, np.ndarray] = {}
+        partners: dict[int, list[int]] = {}
+        for rep, named, text in zip(table.column("rep").to_pylist(), table.column("partners").to_pylist(), table.column("text")):
+            sets[rep] = shingles(text.as_py())
+            partners[rep] = named
+        links = [(min(rep, other), max(rep, other)) for rep, named in partners.items() for other in named if _both(sets[rep], sets[other], threshold)]
+        if table.nbytes > BIG:
+            trim()
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text", 4 << 20):
+        for batch in slices(whole, "text", 2 << 20):
             bands = [fine_bands(shingles(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(bands, pa.list_(pa.int64()))], names=["rep", "fine"])
 
@@ -315,7 +346,8 @@ class _Finder:
         left = rows.join(self.unfinished(rows), "key", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("weight").alias("weight"))
         left = materialize(left, "left")
         fine = left.join(self.texts, "rep").select("rep", "text").mapInArrow(_fine, "rep long, fine array<bigint>")
-        members = materialize(fine.join(left, "rep").select("rep", "n", "weight", F.explode("fine").alias("key")), "members")
+        self.fine = materialize(fine, "fine", codec="none")
+        members = materialize(self.fine.join(left, "rep").select("rep", "n", "weight", F.explode("fine").alias("key")).filter("key <> 0"), "members")
         shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
         self.groups = materialize(members.join(shared, "key"), "groups")
 
@@ -329,13 +361,16 @@ class _Finder:
         sizes = rows.join(self.unfinished(rows), "key", "left_semi").groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         open_ = sizes.groupBy("key").agg(F.sum("size").alias("members"), F.max("size").alias("most"), F.max_by("component", F.struct("size", "component")).alias("main"))
         open_ = materialize(open_.select("key", "main", F.ceil(F.col("members") / CHUNK).alias("ls"), F.ceil((F.col("members") - F.col("most")) / CHUNK).alias("rs")), "open")
-        left = rows.join(open_, "key").join(self.reps.select("rep", "bands"), "rep").select("key", "rep", "n", "component", "bands", "main", "ls", "rs")
+        sketch = self.reps.select("rep", "bands").join(self.fine.select("rep", F.expr("transform(fine, x -> cast(shiftright(x, 32) as int))").alias("fine")), "rep")
+        left = rows.join(open_, "key").join(sketch, "rep").select("key", "rep", "n", "component", "bands", "fine", "main", "ls", "rs")
         left = materialize(left, "left", codec="none")
         own = lambda count, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), count)
         one = left.withColumn("side", F.lit(0)).withColumn("l", own(F.col("ls"), 1)).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rs") - 1)))
         two = left.filter("component <> main").withColumn("side", F.lit(1)).withColumn("r", own(F.col("rs"), 2)).withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ls") - 1)))
-        columns = ["key", "l", "r", "side", "rep", "n", "component", "main", "bands"]
-        self.link(one.select(columns).unionByName(two.select(columns)).groupBy("key", "l", "r").applyInArrow(_partners(self.threshold), _PAIR).distinct())
+        columns = ["key", "l", "r", "side", "rep", "n", "component", "main", "bands", "fine"]
+        named = one.select(columns).unionByName(two.select(columns)).groupBy("key", "l", "r").applyInArrow(_partners(self.threshold), _PART)
+        whole = materialize(named, "partners").join(self.texts, "rep")
+        self.add(whole.groupBy("key", "l", "r").applyInArrow(_confirmed(self.threshold), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -343,6 +378,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
     Equal sets are one class; links, hubs and components are of classes (``rep``).
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     sketches = materialize(rows.mapInArrow(_sketch, _SKETCH), "sketches", codec="none")
     known = sketches.filter("content is not null and doc_id is not null")
