@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return packing.pack_documents(docs, vocabulary_path("byte_bpe_50k.json"))
+    """Pieces of token sequences; a smaller cache, as workers still hold what earlier stages loaded."""
+    return packing.pack_documents(docs, vocabulary_path("byte_bpe_50k.json"), cache_units=150_000)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slices
+from .common import documents, slices, small_batches
 from .subwords import encoder, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -107,13 +107,13 @@ class Packer:
             self._fill(1 << (self.waiting.bit_length() - 1))
 
 
-def packer(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, round_bytes: int):
+def packer(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, round_bytes: int, cache_units: int):
     """Function for ``mapInArrow`` over (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, packs = encoder(path, True, end_id), Packer(tiers, step_tokens)
+        coder, packs = encoder(path, True, end_id, cache_units), Packer(tiers, step_tokens)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         held: dict[int, tuple] = {}  # documents of which pieces still wait
         serial = 0
@@ -155,14 +155,16 @@ def packer(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, rou
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65_536, round_bytes: int = 4 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65_536, round_bytes: int = 4 << 20, cache_units: int = 500_000) -> DataFrame:
     """One row per piece. ``tiers`` are powers of two, the largest is the sequence length.
 
     ``tier`` is the window's token count; windows of a ``step_group`` share a tier and hold
-    ``step_tokens`` tokens (the last group of a partition may hold fewer).
+    ``step_tokens`` tokens (the last group of a partition may hold fewer). ``cache_units`` bounds
+    a worker's memory for units that it has tokenised.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(packer(path, end_id, tiers, step_tokens, round_bytes), SCHEMA)
+    return rows.mapInArrow(packer(path, end_id, tiers, step_tokens, round_bytes, cache_units), SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

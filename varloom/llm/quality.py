@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc32, materialize, slices
+from .common import documents, id_crc32, materialize, slices, small_batches
 
 BUCKETS = 1 << 16
 STRUCTURE = ("log_words", "word_length", "upper", "digit", "symbol", "exclaim", "punctuation", "other_byte", "distinct", "dup_lines", "line_length", "upper_words", "log_chars", "chars_a_byte")
@@ -173,11 +173,12 @@ def within(rows: DataFrame, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, sample_features: int = 20_000_000) -> FactorisationMachine:
     """Fit the machine; the features of the sample are all that reaches the driver."""
+    small_batches(docs.sparkSession)
     sampled = training_rows(labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 bounds, index, value, structure = featurise(batch.column("text"), batch.column("n_chars"))
                 parts = [(index[a:b].astype("<u4").tobytes(), value[a:b].astype("<f4").tobytes(), s.tobytes()) for a, b, s in zip(bounds, bounds[1:], structure)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *(pa.array(c, pa.binary()) for c in zip(*parts))], names=["doc_id", "quality", "i", "x", "s"])
@@ -205,7 +206,7 @@ def score_documents(docs: DataFrame, machine: FactorisationMachine) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 score = model.value.score(featurise(batch.column("text"), batch.column("n_chars")))
                 held = [zlib.crc32(b"" if k is None else str(k).encode()) % 3 == 1 for k in batch.column("doc_id").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -220,7 +221,7 @@ def keep_good(docs: DataFrame, machine: FactorisationMachine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 chars = batch.column("n_chars") if has_chars else pa.nulls(batch.num_rows, pa.int64())
                 score = model.value.score(featurise(batch.column("text"), chars))
                 yield batch.filter(pa.array(score >= 0.5))

@@ -145,11 +145,13 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, keeps_space: bool, end_id: int) -> Encoder:
+def encoder(path: str, keeps_space: bool, end_id: int, cache_units: int = 500_000) -> Encoder:
     """The worker's encoder: its cache serves all tasks that the worker runs."""
-    if (path, keeps_space, end_id) not in _ENCODERS:
-        _ENCODERS[path, keeps_space, end_id] = Encoder(path, keeps_space, end_id)
-    return _ENCODERS[path, keeps_space, end_id]
+    key = (path, keeps_space, end_id)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, keeps_space, end_id)
+    _ENCODERS[key].cache_units = cache_units
+    return _ENCODERS[key]
 
 
 def vocabulary_path(name: str) -> str:

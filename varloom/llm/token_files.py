@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, planned_bytes, slices
+from .common import documents, materialize, planned_bytes, slices, small_batches
 from .subwords import encoder, vocabulary_path
 
 SHARD = "part long, seq long, first_key long, last_key long, n_rows long, n_ids long, width int, payload binary, row_lengths binary, row_keys binary, displacements binary, fingerprints binary, entries binary"
@@ -184,6 +184,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, partition_bytes: i
     The number of range partitions follows the input's planned (stored) size, so a task's share
     stays the same at any size; a task holds one shard at a time, whatever its share.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     n = max(1, -(-planned_bytes(rows) // partition_bytes))
     order = ["doc_id", "h", "p"]
