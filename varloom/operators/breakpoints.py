@@ -48,7 +48,11 @@ def groups(joins: DataFrame, gap: int = 300) -> DataFrame:
         F.expr("cast(sum(gap) / count(gap) as int)").alias("mean_gap"), F.count_if(F.col("gap") > 0).alias("n_ins"), F.count_if(F.col("gap") < 0).alias("n_del"), F.collect_set("qname").alias("reads"),
         F.count_if(F.col("end_type") == "R").alias("right1"), F.count_if(F.col("end_type2") == "R").alias("right2"), F.count(F.lit(1)).alias("n"),
     )
-    return g.withColumn("group_id", F.xxhash64("chrom", "p1", "chrom2", "p2", "kind"))
+    # Copies of a duplication: the most steps back that a read makes, and one.
+    keys = ["chrom", "p1", "chrom2", "p2", "kind"]
+    steps = rows.withColumn("kind", kind).filter("kind = 'DUP'").groupBy(*keys, "qname").agg(F.count(F.lit(1)).alias("steps"))
+    copies = steps.groupBy(*keys).agg((F.max("steps") + 1).cast("int").alias("dup_num"))
+    return g.join(copies, keys, "left").withColumn("group_id", F.xxhash64(*keys))
 
 
 def votes(group: DataFrame, segs: DataFrame, minimum: int) -> DataFrame:
@@ -128,8 +132,18 @@ def ultra_large(start: Column, end: Column, limit: int = 100_000) -> Column:
     return F.abs(end - start) > limit
 
 
+def alike(rows: DataFrame, keys: list[str], near: int) -> DataFrame:
+    """Adds __alike: one number for the rows of a key whose starts, and among these whose ends, follow each other within ``near``."""
+    for k, c in enumerate(("start", "end")):
+        named = [*keys, *(f"__run{i}" for i in range(k))]
+        order = Window.partitionBy(*named).orderBy(c)
+        rows = rows.withColumn("__opens", F.when(F.col(c) - F.lag(c).over(order) <= near, 0).otherwise(1))
+        rows = rows.withColumn(f"__run{k}", F.sum("__opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("__alike", F.struct("__run0", "__run1")).drop("__opens", "__run0", "__run1")
+
+
 def strongest(rows: DataFrame, near: int = 50) -> DataFrame:
     """Of groups with one type and nearly the same ends, the one with most support."""
-    rounded = [F.floor(F.col(c) / near) for c in ("start", "end")]
-    rank = F.row_number().over(Window.partitionBy("svtype", "chrom", "chrom2", *rounded).orderBy(F.col("support").desc(), "start", "end"))
-    return rows.withColumn("__r", rank).filter("__r = 1").drop("__r")
+    keys = ["svtype", "chrom", "chrom2"]
+    rank = F.row_number().over(Window.partitionBy(*keys, "__alike").orderBy(F.col("support").desc(), "start", "end"))
+    return alike(rows, keys, near).withColumn("__r", rank).filter("__r = 1").drop("__r", "__alike")

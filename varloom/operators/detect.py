@@ -70,7 +70,7 @@ def indel_regions(pile: DataFrame, est: Estimates, min_size: int = 18, max_gap:
     order, so there are no tiles whose edges could cut or double it.
     """
     flagged = pile.filter(pl.abnormal(est.min_ins, est.min_del, est.min_clip) & ((F.col("n_ins") + F.col("n_del") + F.col("del_spread") + F.col("n_large")) > 0))
-    found = windows.runs(flagged.select("chrom", "pos"), ["chrom"], "pos", max_gap)
+    found = windows.runs_tiled(flagged.select("chrom", "pos"), ["chrom"], "pos", 100_000, max_gap)
     stats = pl.region_statistics(pile, found.select("chrom", "start", "end"))
     big = (F.abs("sv_len") >= min_size) | (F.col("large") > 0)
     return stats.filter(indel_gate(est.support, min_size) & big).select("chrom", "start", "end", "sv_len", "mean_depth", "signatures")
@@ -92,8 +92,8 @@ def clip_regions(pile: DataFrame, minimum: int, ratio: float = 0.1, size: int =
         [F.sum("n_long_clip").alias("long_clips"), F.avg(F.col("depth") + F.coalesce("ins_bases", F.lit(0)) + F.col("del_spread")).alias("refined"), (F.max(at) - F.min(at) + 1).alias("span"), F.min(at).alias("low"), F.max(at).alias("high"), F.max(F.when(F.col("n_long_clip") >= 2, F.col("n_long_clip") / F.greatest(F.col("depth") + F.col("del_spread"), F.lit(1)))).alias("peak")],
     )
     flagged = stats.filter(F.coalesce(clip_gate(minimum, ratio), F.lit(False)))
-    found = windows.runs(flagged, ["chrom"], "bin", 1, [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("long_clips").alias("clips")])
-    return found.select("chrom", F.col("low").alias("start"), F.col("high").alias("end"), "clips")
+    found = windows.runs_tiled(flagged, ["chrom"], "bin", 5_000, 1, {"low": F.min, "high": F.max, "long_clips": F.sum})
+    return found.select("chrom", F.col("low").alias("start"), F.col("high").alias("end"), F.col("long_clips").alias("clips"))
 
 
 def drop_inside_groups(indels: DataFrame, groups: DataFrame, slack: int = 50) -> DataFrame:

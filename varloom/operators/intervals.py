@@ -86,22 +86,29 @@ def merge_tiled(df: DataFrame, tile: int, keys: list[str] = ["chrom"]) -> DataFr
     return merge(tiled.withColumnRenamed("n", "__n"), keys, extra=[F.sum("__n").alias("members")]).drop("n").withColumnRenamed("members", "n")
 
 
-def depth(df: DataFrame, keys: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
+def depth(df: DataFrame, keys: list[str] = ["chrom"], tile: int = 1_000_000) -> DataFrame:  # noqa: B006
     """(start, end, depth) runs of positions that the same number of intervals cover.
 
     Two events an interval instead of one row a position: +1 at its start, -1 past its end.
+    They are added up by tiles first, so no task sorts a contig.
     """
     events = df.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("x"))
     steps = events.groupBy(*keys, F.col("x.pos").alias("start")).agg(F.sum("x.d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("start")
-    runs = steps.withColumn("depth", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("start").over(order) - 1)
+    steps = steps.withColumn("__tile", F.floor(F.col("start") / tile))
+    tiles_ = steps.groupBy(*keys, "__tile").agg(F.sum("d").alias("__sum"), F.min("start").alias("__first"))
+    across = Window.partitionBy(*keys).orderBy("__tile")
+    before = F.coalesce(F.sum("__sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tiles_ = tiles_.select(*keys, "__tile", before.alias("__before"), F.lead("__first").over(across).alias("__next"))
+    inside = Window.partitionBy(*keys, "__tile").orderBy("start")
+    runs = steps.join(tiles_, [*keys, "__tile"]).withColumn("depth", F.col("__before") + F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("end", F.coalesce(F.lead("start").over(inside), F.col("__next")) - 1)
     return runs.filter("depth > 0").select(*keys, "start", "end", "depth")
 
 
-def gaps(df: DataFrame, keys: list[str] = ["chrom"], least: int = 2) -> DataFrame:  # noqa: B006
+def gaps(df: DataFrame, keys: list[str] = ["chrom"], least: int = 2, tile: int = 1_000_000) -> DataFrame:  # noqa: B006
     """Uncovered runs between the merged intervals, of at least ``least`` positions."""
     order = Window.partitionBy(*keys).orderBy("start")
-    islands = merge(df, keys)
+    islands = merge_tiled(df, tile, keys)
     between = islands.select(*keys, (F.lag("end").over(order) + 1).alias("gap_start"), (F.col("start") - 1).alias("gap_end"))
     return between.filter(F.col("gap_end") - F.col("gap_start") + 1 >= least).select(*keys, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import fetch
 from . import cigar as cg
+from .breakpoints import alike
 from .intervals import merge, overlap_join
 
 # Support
@@ -70,10 +71,10 @@ def merge_neighbour_variants(calls: DataFrame, keys: list[str] = ["region_id", "
 
 def merge_half_translocations(rows: DataFrame, near: int = 50) -> DataFrame:
     """Records that name the same two contigs and nearly the same ends are one, of the larger support."""
-    place = lambda c: F.floor((F.col(c) + near) / (2 * near + 1))
     swap = F.struct("chrom2", "end") < F.struct(F.col("chrom"), F.col("start"))
     turned = rows.select(F.when(swap, F.col("chrom2")).otherwise(F.col("chrom")).alias("chrom"), F.when(swap, F.col("end")).otherwise(F.col("start")).alias("start"), F.when(swap, F.col("chrom")).otherwise(F.col("chrom2")).alias("chrom2"), F.when(swap, F.col("start")).otherwise(F.col("end")).alias("end"), "support")
-    return turned.groupBy("chrom", place("start").alias("p"), "chrom2", place("end").alias("q")).agg(F.max_by("start", "support").alias("start"), F.max_by("end", "support").alias("end"), F.max("support").alias("support")).drop("p", "q")
+    best = F.struct("support", (-F.col("start")).alias("s"), (-F.col("end")).alias("e"))
+    return alike(turned, ["chrom", "chrom2"], near).groupBy("chrom", "chrom2", "__alike").agg(F.max_by("start", best).alias("start"), F.max_by("end", best).alias("end"), F.max("support").alias("support")).drop("__alike")
 
 
 def extend_zero_runs(zero: DataFrame, regions: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +21,16 @@ def runs(df: DataFrame, keys: list[str], pos: str, gap: int = 1, aggregates: lis
     return rows.groupBy(*keys, "__run").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count(F.lit(1)).alias("n"), *(aggregates or [])).drop("__run")
 
 
-def runs_tiled(df: DataFrame, keys: list[str], pos: str, tile: int, gap: int = 1) -> DataFrame:
-    """``runs`` for contigs of any length: runs of each tile, then of the runs."""
+def runs_tiled(df: DataFrame, keys: list[str], pos: str, tile: int, gap: int = 1, aggregates: dict[str, Callable] | None = None) -> DataFrame:
+    """``runs`` for contigs of any length: runs of each tile, then of the runs.
+
+    ``aggregates``: columns to carry, each with a function (min, max or sum) for both steps.
+    """
     from .intervals import merge
 
-    parts = runs(df.withColumn("__tile", F.floor(F.col(pos) / tile)), [*keys, "__tile"], pos, gap)
-    whole = merge(parts.withColumnRenamed("n", "__n"), keys, gap=gap, extra=[F.sum("__n").alias("members")])
+    folded = [f(c).alias(c) for c, f in (aggregates or {}).items()]
+    parts = runs(df.withColumn("__tile", F.floor(F.col(pos) / tile)), [*keys, "__tile"], pos, gap, folded)
+    whole = merge(parts.withColumnRenamed("n", "__n"), keys, gap=gap, extra=[F.sum("__n").alias("members"), *folded])
     return whole.drop("n").withColumnRenamed("members", "n")
 
 
@@ -40,11 +47,19 @@ def chunks(df: DataFrame, keys: list[str], near: int = 1000, far: int = 2000, ga
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) + max(near, gap, close)
     opens = F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))
     rows = df.withColumn("__opens", opens).withColumn("__stretch", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = rows.groupBy(*keys, "__stretch").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__r"))
-    step = (
-        f"named_struct('anchor', if(joins, a.anchor, r.start), 'last', r.end, 'chunk', if(joins, a.chunk, a.chunk + 1), 'out', concat(a.out, array(named_struct('start', r.start, 'end', r.end, 'chunk', if(joins, a.chunk, a.chunk + 1)))))"
-    ).replace("joins", f"a.chunk > 0 and (r.start < a.anchor + {near} or (r.start < a.anchor + {far} and r.start - a.last < {gap}) or r.start - a.last < {close})")
-    fold = f"aggregate(__r, named_struct('anchor', 0L, 'last', 0L, 'chunk', 0, 'out', cast(array() as array<struct<start:bigint,end:bigint,chunk:int>>)), (a, r) -> {step}).out"
-    parts = lists.select(*keys, "__stretch", F.explode(F.expr(fold)).alias("c"))
-    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("__stretch", "c.chunk"))
-    return parts.select(*keys, "c.start", "c.end", number.alias("chunk"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "end"], kind="stable")
+        chunk, anchor, last, numbers = 0, 0, 0, []
+        for start, end in zip(pdf["start"].tolist(), pdf["end"].tolist()):
+            if not (chunk and (start < anchor + near or (start < anchor + far and start - last < gap) or start - last < close)):
+                chunk, anchor = chunk + 1, start
+            last = end
+            numbers.append(chunk)
+        return pdf.assign(__chunk=numbers)[[*keys, "__stretch", "start", "end", "__chunk"]]
+
+    kinds = dict(rows.dtypes)
+    named = [*keys, "__stretch", "start", "end"]
+    parts = rows.select(*named).groupBy(*keys, "__stretch").applyInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in named) + ", `__chunk` int")
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("__stretch", "__chunk"))
+    return parts.select(*keys, "start", "end", number.alias("chunk"))

@@ -15,6 +15,7 @@ from ..operators import breakpoints as bp
 from ..operators import call, cigar, cluster, detect, pileup, sampling, splitreads
 from ..operators.dedup import cancel_false_neighbours, drop_small_signatures, near_duplicate_neighbours, same_sequence, same_variant
 from ..operators.intervals import in_regions, overlap_join
+from ..operators.refine import merge_neighbour_signatures, recount_support
 from ..sources import alignments as al
 from ..sources.files import fetch
 from .parameters import Parameters
@@ -74,7 +75,8 @@ def region_signatures(rows: DataFrame, regions: DataFrame, p: Parameters, flank:
     sig = cigar.signatures(runs, p.internal_size, F.col("low"), F.col("high")).select("region_id", "qname", "chrom", F.col("rpos").alias("pos"), "op", "len", F.when(F.col("op") == "I", F.upper("run_seq")).alias("seq"))
     keys = ["region_id", "qname", "chrom"]
     clean = cancel_false_neighbours(sig.select(*keys, "pos", "op", "len"), keys)
-    return drop_small_signatures(clean.join(sig, [*keys, "pos", "op", "len"]).distinct(), ["region_id", "qname"])
+    joined = merge_neighbour_signatures(clean.join(sig, [*keys, "pos", "op", "len"]).distinct(), keys).drop("members")
+    return drop_small_signatures(joined, ["region_id", "qname"])
 
 
 def window_sequences(rows: DataFrame, regions: DataFrame, clusters: DataFrame, tiles: DataFrame, p: Parameters, flank: int = 60, longest: int = 1_500) -> DataFrame:
@@ -114,8 +116,11 @@ def call_variants(reads: DataFrame, tiles: DataFrame | None, p: Parameters, foun
     split = big.select(F.col("group_id").alias("region_id"), F.lit(0).alias("cluster_id"), "chrom", "start", F.when(F.col("svtype") == "DEL", F.greatest("start", F.col("end") - 1)).otherwise(F.col("start")).alias("end"), "svtype", "sv_len", F.lit(None).cast("string").alias("alt_seq"), F.col("support").cast("int").alias("support"), "reads", F.lit("SPLIT").alias("ldiscov"))
     typed = found.groups.filter(F.col("svtype").isin("DUP", "INV") & (F.col("chrom") == F.col("chrom2")) & (F.col("support") >= minimum))
     span = (F.col("end") - F.col("start") + 1).cast("int")
-    turned = typed.filter(span.between(p.min_size, p.max_size)).select(F.col("group_id").alias("region_id"), F.lit(0).alias("cluster_id"), "chrom", "start", "end", "svtype", span.alias("sv_len"), F.lit(None).cast("string").alias("alt_seq"), F.col("support").cast("int").alias("support"), "reads", F.lit("SPLIT").alias("ldiscov"))
-    calls = call.merge_alleles(near.select(*call.VARIANT), p.allele_similarity).unionByName(split.select(*call.VARIANT)).unionByName(turned.select(*call.VARIANT))
+    turned = typed.filter(span.between(p.min_size, p.max_size)).select(F.col("group_id").alias("region_id"), F.lit(0).alias("cluster_id"), "chrom", "start", "end", "svtype", span.alias("sv_len"), F.lit(None).cast("string").alias("alt_seq"), F.col("support").cast("int").alias("support"), "reads", F.lit("SPLIT").alias("ldiscov"), "dup_num")
+    # Regions were sampled; depth is of all reads, so support is counted over all of them too.
+    every = staged(cigar.signatures(read_runs(rows), p.internal_size).select("qname", "chrom", F.col("rpos").alias("pos"), "op", "len"), "every")
+    near = recount_support(call.merge_alleles(near.select(*call.VARIANT), p.allele_similarity), every).withColumn("support", F.greatest("support", "recounted")).drop("recounted")
+    calls = near.unionByName(split.select(*call.VARIANT)).unionByName(turned.select(*call.VARIANT, "dup_num"), allowMissingColumns=True)
     calls = calls.filter((F.abs("sv_len") >= p.min_size) & (F.abs("sv_len") <= p.max_size))
     calls = call.spanning_depth(calls, rows, 5)
     calls = call.genotyped(calls, minimum, p.min_size, p.hom, p.het)
