@@ -281,6 +281,68 @@ def test_bam_reader(spark, tmp_path):
     assert (b.flag, b.pos, b.seq, b.nm, b.md) == (16, 20, "ACG", 5, None)
 
 
+def bam_record(rng, k, ref, pos):
+    n = rng.randint(1, 400)
+    seq = [rng.choice((1, 2, 4, 8)) for _ in range(n)]
+    name = f"read{k}".encode()
+    body = struct.pack("<iiBBHHHiiii", ref, pos - 1, len(name) + 1, 60, 0, 1, 0, n, -1, -1, 0) + name + b"\0" + struct.pack("<I", n << 4)
+    nib = seq + [0] * (n % 2)
+    body += bytes(nib[i] << 4 | nib[i + 1] for i in range(0, len(nib), 2)) + b"\xff" * n + b"NMC" + bytes([k % 200])
+    return struct.pack("<i", len(body)) + body, (f"read{k}", ("c1", "c2")[ref], pos, f"{n}M", "".join("=ACMGRSVTWYHKDBN"[x] for x in seq), k % 200)
+
+
+def blocked_gzip(data, size):
+    out = b""
+    for at in [*range(0, len(data), size), len(data)]:
+        d = zlib.compressobj(6, zlib.DEFLATED, -15)
+        part = data[at : at + size]
+        raw = d.compress(part) + d.flush()
+        out += bytes((31, 139, 8, 4, 0, 0, 0, 0, 0, 255, 6, 0, 66, 67, 2, 0)) + struct.pack("<H", len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def test_bam_over_several_splits(spark, tmp_path):
+    """Records that cross blocks and splits, two files, and regions by an index."""
+    rng = random.Random(11)
+    want = []
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 2) + b"".join(struct.pack("<i", 3) + c + b"\0" + struct.pack("<i", 9_000) for c in (b"c1", b"c2"))
+    for f in range(2):
+        data = head
+        for k in range(400):
+            raw, row = bam_record(rng, 1000 * f + k, int(k >= 200), 1 + 20 * (k % 200))
+            data += raw
+            want.append(row)
+        (tmp_path / f"{f}.bam").write_bytes(blocked_gzip(data, 700))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = al.read_bam(spark, str(tmp_path), with_place=True).cache()
+        assert rows.select("path", "split").distinct().count() > 8
+        plain = lambda df: sorted((r.qname, r.chrom, r.pos, r.cigar, r.seq, r.nm) for r in df.collect())
+        assert plain(rows) == sorted(want)
+        assert {(r.chrom, r.length, r["rank"]) for r in al.read_bam_header(spark, str(tmp_path)).collect()} == {("c1", 9_000, 0), ("c2", 9_000, 1)}
+        index = al.index_bam(spark, str(tmp_path)).cache()
+        limits = spark.createDataFrame([("c1", 500, 900), ("c2", 3_900, None)], "chrom string, start long, end long")
+        inside = [w for w in want for c, a, b in (("c1", 500, 900), ("c2", 3_900, 10**9)) if w[1] == c and w[2] <= b and w[2] + len(w[4]) - 1 >= a]
+        assert plain(al.read_bam(spark, str(tmp_path), index, limits)) == sorted(inside)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_homopolymers_across_stretches(spark):
+    ref = spark.createDataFrame([("c", 0, 99_998, "AACCGTTA")], "chrom string, tile int, start long, seq string")
+    got = {r.pos: r.polymer for r in pileup.homopolymers(pileup.reference_bases(ref)).collect()}
+    assert got == {99_998: True, 99_999: True, 100_000: True, 100_001: True, 100_002: False, 100_003: True, 100_004: True, 100_005: False}
+
+
+def test_records_near_each_other(spark):
+    t = "chrom string, start long, chrom2 string, end long, svtype string, support int"
+    rows = [("a", 1060, "b", 100, "TRA", 3), ("a", 1061, "b", 101, "TRA", 5), ("a", 1111, "b", 140, "TRA", 4), ("a", 1300, "b", 100, "TRA", 1), ("a", 1062, "b", 400, "TRA", 2)]
+    assert sorted(r.support for r in bp.strongest(spark.createDataFrame(rows, t)).collect()) == [1, 2, 5]
+
+
 def test_writers(spark):
     c = spark.createDataFrame([("chr10", 5, 5, "INS", 3, "A", "ATTT", 9, 0.5, "0/1", 4, 5), ("chr2", 7, 9, "DEL", -3, "ACGT", "A", 9, 1.0, "1/1", 0, 9)], "chrom string, start long, end long, svtype string, sv_len int, ref string, alt string, dp int, af double, gt string, ad_ref int, ad_alt int")
     lines = [r.line for r in writers.vcf_lines(writers.with_ids(c)).collect()]
