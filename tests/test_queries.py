@@ -24,7 +24,7 @@ def plain(rows):
     return sorted(tuple("none" if x is None else f"{x:.8g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     other = duck.execute(registry.oracle_sql()[name])
@@ -33,6 +33,28 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(df.select(*sorted(df.columns)).collect()) == plain([tuple(r[names.index(c)] for c in sorted(names)) for r in other.fetchall()])
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_queries_without_sql(spark):
+    """Whole texts, ASCII or not, beside plain Python."""
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"seq_similarity_pairs", "aligned_distance", "similar_neighbours"}
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    run = lambda name: registry.queries()[name](spark, DATA).collect()
+    pairs = {k: (texts[k].upper(), texts[k + 1].upper()) for k in texts if k + 1 in texts}
+    far = {k: distance(*p) for k, p in pairs.items()}
+    assert {(r.a, r.b, r.distance) for r in run("aligned_distance")} == {(k, k + 1, n) for k, n in far.items()}
+    assert {r.a: r.similarity for r in run("seq_similarity_pairs")} == pytest.approx({k: round(1 - n / max(map(len, pairs[k])), 9) for k, n in far.items()})
+    order = sorted(texts)
+    assert {r.k: r.alike for r in run("similar_neighbours")} == {b: 1 - distance(texts[a].upper(), texts[b].upper()) / max(len(texts[a].upper()), len(texts[b].upper())) >= 0.25 for a, b in zip(order, order[1:])}
+
+
 def test_entry(spark):
     import __spark_entry__
 

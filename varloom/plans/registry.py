@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import driver_queries
+from . import driver_queries, variant_queries  # noqa: F401  the second adds its own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
