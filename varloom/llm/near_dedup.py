@@ -52,7 +52,7 @@ FEW = 12
 #: Hashes of the second banding, buckets of each and registers of a band: 120 bands in all.
 FINE_TABLES, FINE_BUCKETS, FINE_BAND = 15, 64, 8
 #: Members of either side that a task compares at a time, and shingles that it confirms at a time.
-CHUNK, CHUNK_SHINGLES = 256, 50_000
+CHUNK, CHUNK_SHINGLES = 256, 10_000
 #: Bytes of a group after which a worker gives freed memory back.
 BIG = 1 << 20
 EMPTY = np.uint16(0xFFFF)
