@@ -110,7 +110,8 @@ SELECT *, CASE WHEN same_chrom AND same_orient AND both_ends AND turn_round THEN
 """)
 def read_features(spark, d):
     rows = segs(spark, d)
-    rows = rows.join(rows.groupBy("qname").agg(F.min("ref_start").alias("p1"), F.max("ref_end").alias("p2")), "qname")
+    whole = Window.partitionBy("qname")
+    rows = rows.withColumn("p1", F.min("ref_start").over(whole)).withColumn("p2", F.max("ref_end").over(whole))
     facts = splitreads.features(rows, F.col("p1"), F.col("p2"), ["qname", "p1", "p2"], 30, 100)
     return facts.select("qname", "same_chrom", "same_orient", "self_overlap", "same_region", "both_ends", "turn_round", splitreads.vote().alias("vote"))
 
