@@ -9,7 +9,8 @@ def build(seed: int = 42, length: int = 60_000, depth: int = 24, read: int = 6_0
     """(contigs, SAM rows, planted variants).
 
     chr1: INS 60 hom, INS 400 het, DEL 60 het, DEL 400 hom, tandem DUP 2000 hom (split reads);
-    chr2: INV 3000 hom, and a translocation from chr1's end half into chr2.
+    chr2: INV 3000 hom, and a translocation from chr1's end half into chr2;
+    chr3: INS 800 hom and DEL 3000 hom, which show only as clips, without SA tags.
     """
     rng = random.Random(seed)
     bases = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
@@ -112,5 +113,19 @@ def build(seed: int = 42, length: int = 60_000, depth: int = 24, read: int = 6_0
         split([("chr1", 46_000 - 2_000 - j + 1, 46_000, "+"), ("chr1", 44_001, 46_000 + j, "+")])  # tandem duplication of 44,001 to 46,000
         split([("chr2", 20_001 - 1_500 - k, 20_000, "+"), ("chr2", 20_001, 23_000, "-"), ("chr2", 23_001, 24_500 + k, "+")])
         split([("chr1", 55_001 - 2_000 - k, 55_000, "+"), ("chr2", 40_001, 42_000 + k, "+")])
-    truth = [(c, p, t, len(x) if t == "INS" else -x, g) for c, p, t, x, g in planted] + [("chr1", 44_001, "DUP", 2_000, None), ("chr2", 20_001, "INV", 3_000, None), ("chr1", 55_000, "TRA", None, None)]
+    contigs["chr3"] = bases(30_000)
+    ref, novel = contigs["chr3"], bases(800)
+    for k in range(30_000 * depth // read):
+        start = rng.randint(1, 29_700)
+        size = min(read, 30_000 - start)
+        if start + size <= 9_500 or start >= 10_500 and start + size <= 17_500 or start >= 21_500:
+            emit("chr3", start, size, k % 2)
+    for k in range(12):
+        for at, resumes, between in ((10_000, 10_001, novel), (18_000, 21_001, "")):
+            left, right = noisy(ref[at - 2_000 - k : at]), noisy(ref[resumes - 1 : resumes + 1_999 + k])
+            inner = noisy(between)
+            after, before = inner + right[: 1_000 + 20 * k], left[-1_000 - 20 * k :] + inner
+            rows.append((f"c{at}_{k}_r", 0, "chr3", at - len(left) + 1, 60, f"{len(left)}M{len(after)}S", left + after, None, None, None))
+            rows.append((f"c{at}_{k}_l", 0, "chr3", resumes, 60, f"{len(before)}S{len(right)}M", before + right, None, None, None))
+    truth = [(c, p, t, len(x) if t == "INS" else -x, g) for c, p, t, x, g in planted] + [("chr1", 44_001, "DUP", 2_000, None), ("chr2", 20_001, "INV", 3_000, None), ("chr1", 55_000, "TRA", None, None), ("chr3", 10_001, "INS", 800, "1/1"), ("chr3", 18_001, "DEL", -3_000, "1/1")]
     return contigs, rows, truth

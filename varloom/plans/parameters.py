@@ -13,6 +13,7 @@ class Parameters:
     min_mapq: int = 20
     min_clip: int = 200
     clip_ratio: float = 0.1
+    clip_reach: int = 20_000  # bases around a clip region in which its reads' clips are sought
     max_depth: float = 300.0
     consensus_depth: float = 40.0
     size_percentile: float = 0.95

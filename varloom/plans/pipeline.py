@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import breakpoints as bp
-from ..operators import call, cigar, cluster, detect, pileup, sampling, splitreads
+from ..operators import call, cigar, clipcalls, cluster, detect, pileup, sampling, splitreads
 from ..operators.dedup import cancel_false_neighbours, drop_small_signatures, near_duplicate_neighbours, same_sequence, same_variant
 from ..operators.intervals import in_regions, overlap_join
 from ..operators.refine import merge_neighbour_signatures, recount_support
@@ -96,7 +96,7 @@ def window_sequences(rows: DataFrame, regions: DataFrame, clusters: DataFrame, t
 
 
 def call_variants(reads: DataFrame, tiles: DataFrame | None, p: Parameters, found: Candidates | None = None, limits: DataFrame | None = None) -> DataFrame:
-    """Genotyped variants: indels from alleles and from split reads, and typed breakpoint groups."""
+    """Genotyped variants: indels from alleles and split reads, typed breakpoint groups, and clip regions."""
     found = found or detect_candidates(reads, tiles, p, limits)
     rows = found.reads
     minimum = found.estimates.support
@@ -123,6 +123,10 @@ def call_variants(reads: DataFrame, tiles: DataFrame | None, p: Parameters, foun
     calls = near.unionByName(split.select(*call.VARIANT)).unionByName(turned.select(*call.VARIANT, "dup_num"), allowMissingColumns=True)
     calls = calls.filter((F.abs("sv_len") >= p.min_size) & (F.abs("sv_len") <= p.max_size))
     calls = call.spanning_depth(calls, rows, 5)
+    if tiles is not None:
+        clipped = clipcalls.clip_calls(rows, found.clips, tiles, p.tile, minimum, p.min_size, p.max_size, p.min_clip, int(2 * p.consensus_depth), p.clip_reach)
+        clipped = staged(clipped.withColumnRenamed("place_id", "region_id").withColumn("cluster_id", F.lit(0)).withColumn("ldiscov", F.lit("CLIP")).select(*call.VARIANT), "clipped")
+        calls = calls.unionByName(clipcalls.own_depth(clipped, rows), allowMissingColumns=True)
     calls = call.genotyped(calls, minimum, p.min_size, p.hom, p.het)
     alike = same_variant() & F.coalesce(same_sequence(), F.lit(True))
     return near_duplicate_neighbours(calls.withColumn("alt", F.col("alt_seq")), ["chrom"], ["start", "end", "sv_len"], alike, "support").drop("alt")
