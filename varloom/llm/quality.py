@@ -100,6 +100,19 @@ class FactorisationMachine:
         row = np.concatenate([np.repeat(np.arange(n), np.diff(bounds)), np.repeat(np.arange(n), m)])
         return row, np.concatenate([index, np.tile(np.arange(BUCKETS, WIDTH), n)]), np.concatenate([value, z.ravel()])
 
+    def ordered(self, features: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``inputs``, document after document in 8 bytes a feature, and where each document begins."""
+        bounds, index, value, structure = features
+        n, m = structure.shape
+        z = np.clip((structure - self.mean) / self.deviation, -4, 4) / 2
+        begin = bounds + m * np.arange(n + 1)
+        own = np.ones(begin[-1], bool)
+        own[(begin[1:, None] - m + np.arange(m)).ravel()] = False
+        out, x = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32)
+        out[own], x[own] = index, value
+        out[~own], x[~own] = np.tile(np.arange(BUCKETS, WIDTH), n), z.ravel()
+        return out, x, begin
+
     def raw(self, n: int, row: np.ndarray, index: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The machine's output, and the factor sums that its gradient needs."""
         y = self.w0 + np.bincount(row, weights=self.w[index] * x, minlength=n)
@@ -118,12 +131,9 @@ class FactorisationMachine:
     def fit(self, features: tuple, labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 2e-5, batch: int = 128, seed: int = 7) -> FactorisationMachine:
         """Adagrad on the logistic loss, the two labels weighted alike."""
         rng = np.random.default_rng(seed)
-        bounds, structure = features[0], features[3]
+        structure = features[3]
         self.mean, self.deviation = structure.mean(0), np.maximum(structure.std(0), 1e-6)
-        row, index, x = self.inputs(features)
-        order = np.argsort(row, kind="stable")
-        index, x = index[order], x[order]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(labels)))])
+        index, x, begin = self.ordered(features)
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
         gw, gv, g0 = np.full(WIDTH, 1e-3), np.full(self.v.shape, 1e-3), 1e-3
         for _ in range(epochs):
@@ -185,18 +195,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, sample_featur
 
     found = _inputs(docs).join(F.broadcast(sampled), "doc_id").groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("d"))
     rows = materialize(found.select("doc_id", "quality", "d.text", "d.n_chars").mapInArrow(run, "doc_id long, quality int, i binary, x binary, s binary"), "sample").withColumn("n", F.octet_length("i") / 4)
-    got = within(rows, sample_features // 2).collect()
-    got.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.i)))
+    # Partition after partition, so neither side of the driver holds the sample more than once.
+    got = [(r.doc_id, r.quality, bytes(r.i), bytes(r.x), bytes(r.s)) for r in within(rows, sample_features // 2).toLocalIterator()]
+    got.sort()
     machine = FactorisationMachine()
-    y = np.array([r.quality for r in got])
+    y = np.array([quality for _, quality, *_ in got])
     if len(set(y.tolist())) < 2:
         machine.v[:] = 0
         machine.w0 = 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1)
         return machine
-    bounds = np.concatenate([[0], np.cumsum([len(r.i) // 4 for r in got])])
-    index = np.frombuffer(b"".join(r.i for r in got), "<u4").astype(np.int64)
-    value = np.frombuffer(b"".join(r.x for r in got), "<f4").astype(np.float64)
-    structure = np.frombuffer(b"".join(r.s for r in got)).reshape(len(got), -1)
+    bounds = np.concatenate([[0], np.cumsum([len(i) // 4 for _, _, i, _, _ in got])])
+    index, value = (np.frombuffer(b"".join(r[c] for r in got), t) for c, t in ((2, "<u4"), (3, "<f4")))
+    structure = np.frombuffer(b"".join(r[4] for r in got)).reshape(len(got), -1)
+    del got
     return machine.fit((bounds, index, value, structure), y)
 
 
