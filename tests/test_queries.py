@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(df.select(*sorted(df.columns)).collect()) == plain([tuple(r[names.index(c)] for c in sorted(names)) for r in other.fetchall()])
 
 
-@pytest.mark.parametrize("name", ["foreign_segments", "segment_adjacency"])
+@pytest.mark.parametrize("name", ["foreign_segments", "segment_adjacency", "split_tags"])
 def test_repeated_rows_stay(spark, name, tmp_path):
     """Rows that come twice, and rows of one place that differ in their quality or tail only."""
     con = duckdb.connect()
