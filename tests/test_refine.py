@@ -100,3 +100,10 @@ def test_names_of_a_cluster_leave_its_line_behind(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     generate = next(x for x in plan.splitlines() if "Generate explode" in x)
     assert plan.index("split(value") > plan.index(generate)
+
+
+def test_calls_of_one_start_are_settled_by_size(spark):
+    schema = "qname string, qstart int, qend int, strand string, chrom string, start long, end long, type string"
+    for plus, minus in ((100, 97), (97, 100)):
+        paf = spark.createDataFrame([("k", 1, 40, "+", "c", 1, 40, "P"), ("k", 41 + plus, 80 + plus, "+", "c", 41, 80, "P"), ("k", 1, 40, "-", "c", 301, 340, "P"), ("k", 301 + minus, 340 + minus, "-", "c", 1, 40, "P")], schema)
+        assert [(r.start, r.sv_len) for r in refine.split_alignment_indels(paf, 20).collect()] == [(41, 97)]
